@@ -73,7 +73,7 @@ def freshness_tenths(effective: Column, now: Column) -> Column:
     age = F.greatest(F.unix_micros(now) - F.unix_micros(effective), F.lit(0))
     left = horizon - F.least(age, F.lit(horizon))
     doubled = left * (2 * FRESHNESS_TENTHS) + horizon
-    return F.when(age < horizon, ((doubled - doubled % (2 * horizon)) / (2 * horizon)).cast("bigint"))
+    return F.when(effective.isNotNull() & (age < horizon), ((doubled - doubled % (2 * horizon)) / (2 * horizon)).cast("bigint"))
 
 
 def score_components(item: dict[str, Column], now: Column) -> Column:
