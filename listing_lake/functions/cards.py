@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions import fields, urls
-from listing_lake.functions.text import blank_to_null, present, rstrip, squish, strip
+from listing_lake.functions.text import blank_to_null, let, rstrip, squish, strip
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 CATEGORY_LABELS = {
@@ -70,10 +70,13 @@ def freshness_tenths(effective: Column, now: Column) -> Column:
     Whole-number arithmetic on microseconds, so every engine gives the same tenth.
     """
     horizon = FRESHNESS_HOURS * _MICROS_PER_HOUR
-    age = F.greatest(F.unix_micros(now) - F.unix_micros(effective), F.lit(0))
-    left = horizon - F.least(age, F.lit(horizon))
-    doubled = left * (2 * FRESHNESS_TENTHS) + horizon
-    return F.when(effective.isNotNull() & (age < horizon), ((doubled - doubled % (2 * horizon)) / (2 * horizon)).cast("bigint"))
+
+    def tenths(age: Column) -> Column:
+        doubled = (horizon - age) * (2 * FRESHNESS_TENTHS) + horizon
+        return F.when(age < horizon, ((doubled - doubled % (2 * horizon)) / (2 * horizon)).cast("bigint"))
+
+    age = F.unix_micros(now) - F.unix_micros(effective)
+    return let(F.when(age < 0, F.lit(0)).otherwise(age), tenths)
 
 
 def score_components(item: dict[str, Column], now: Column) -> Column:
@@ -116,21 +119,20 @@ def signals(tier: Column, is_new: Column) -> Column:
 
 
 def date_caption(published_raw: Column, collected: Column) -> Column:
-    published = fields.published_at(published_raw)
     short = F.length(strip(published_raw)) <= 10
-    shown = F.when(short, F.date_format(published, "yyyy-MM-dd")).otherwise(kst_minute(published))
+
+    def shown(published: Column) -> Column:
+        text = F.when(short, F.date_format(published, "yyyy-MM-dd")).otherwise(kst_minute(published))
+        return F.concat(F.lit("게시 "), text)
+
     return F.concat_ws(
-        " · ",
-        F.when(published.isNotNull(), F.concat(F.lit("게시 "), shown)),
-        F.when(collected.isNotNull(), F.concat(F.lit("수집 "), kst_minute(collected))),
-    )
+        " · ", let(fields.published_at(published_raw), shown), F.concat(F.lit("수집 "), kst_minute(collected)))
 
 
 def summary_preview(summary: Column, length: int = 120) -> Column:
-    value = F.coalesce(strip(summary), F.lit(""))
-    return F.when(F.length(value) <= length, value).otherwise(
+    return let(F.coalesce(strip(summary), F.lit("")), lambda value: F.when(F.length(value) <= length, value).otherwise(
         F.concat(rstrip(F.substring(value, 1, length)), F.lit("…"))
-    )
+    ))
 
 
 def price_text(entity: Column, price: Column, currency: Column) -> Column:
@@ -148,7 +150,7 @@ def product_caption(item: dict[str, Column], today: Column) -> Column:
         " · ",
         blank_to_null(item["shop"]),
         label(blank_to_null(item["saleStatus"]), SALE_STATUS_LABELS),
-        blank_to_null(price_text(item["entityType"], item["price"], item["currency"])),
+        let(price_text(item["entityType"], item["price"], item["currency"]), blank_to_null),
         F.concat(F.lit("예약마감 "), deadline, elapsed),
         F.concat(F.lit("입고 "), blank_to_null(item["releaseWindowText"])),
         blank_to_null(item["manufacturer"]),
@@ -159,16 +161,23 @@ def product_caption(item: dict[str, Column], today: Column) -> Column:
 
 def short_name(title: Column, title_ko: Column, manufacturer: Column, shop: Column) -> Column:
     """Listing title without tags in brackets, maker, shop and links."""
-    full = F.coalesce(blank_to_null(strip(title_ko)), strip(title), F.lit(""))
-    name = F.regexp_replace(full, rf"(?U)^(?:\s*{BRACKETED})+", "")
-    name = F.regexp_replace(name, rf"(?U)(?:{BRACKETED}\s*)+$", "")
-    for extra in (manufacturer, shop):
-        word = strip(F.coalesce(extra, F.lit("")))
-        quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-        name = F.when(F.length(word) >= 2, F.regexp_replace(name, quoted, F.lit(" "))).otherwise(name)
-    name = squish(F.regexp_replace(name, r"(?U)https?://\S+", " "))
-    name = F.trim(name, F.lit(EDGE_MARKS))
-    return F.coalesce(blank_to_null(name), blank_to_null(full), F.lit(urls.UNTITLED))
+    def without(name: Column, extra: Column) -> Column:
+        def cut(word: Column) -> Column:
+            quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+            # An impossible pattern where the word is too short to name anything.
+            pattern = F.when(F.length(word) >= 2, quoted).otherwise(F.lit("(?!)"))
+            return F.regexp_replace(name, pattern, F.lit(" "))
+
+        return let(strip(F.coalesce(extra, F.lit(""))), cut)
+
+    def shorten(full: Column) -> Column:
+        name = F.regexp_replace(full, rf"(?U)^(?:\s*{BRACKETED})+", "")
+        name = F.regexp_replace(name, rf"(?U)(?:{BRACKETED}\s*)+$", "")
+        name = without(without(name, manufacturer), shop)
+        name = F.trim(squish(F.regexp_replace(name, r"(?U)https?://\S+", " ")), F.lit(EDGE_MARKS))
+        return F.coalesce(let(name, blank_to_null), blank_to_null(full), F.lit(urls.UNTITLED))
+
+    return let(F.coalesce(let(strip(title_ko), blank_to_null), strip(title), F.lit("")), shorten)
 
 
 def post_length(text: Column) -> Column:
@@ -180,7 +189,7 @@ def post_piece(item: dict[str, Column], today: Column) -> Column:
     caption = product_caption(item, today)
     return F.struct(
         short_name(item["title"], item["titleKo"], item["manufacturer"], item["shop"]).alias("name"),
-        F.coalesce(blank_to_null(caption), strip(item["source"]), F.lit("")).alias("facts"),
+        F.coalesce(let(caption, blank_to_null), strip(item["source"]), F.lit("")).alias("facts"),
         F.coalesce(urls.http_url(item["url"]), F.lit("")).alias("url"),
         F.coalesce(item["entityType"] == "PRODUCT", F.lit(False)).alias("product"),
     )
@@ -224,18 +233,23 @@ def card_view(df: DataFrame, now: datetime | Column, out: str = "view") -> DataF
     today = F.date_format(F.from_utc_timestamp(now, ZONE), "yyyy-MM-dd")
     original = F.coalesce(blank_to_null(item["title"]), F.lit(urls.UNTITLED))
     korean = F.coalesce(strip(item["titleKo"]), F.lit(""))
-    shown = F.coalesce(blank_to_null(korean), original)
-    shows_original = (korean != "") & (korean != original)
-    language = F.lower(strip(F.coalesce(item["sourceLanguage"], F.lit(""))))
-    tag = F.coalesce(
-        F.element_at(F.create_map(*[F.lit(v) for pair in LANGUAGE_TAGS.items() for v in pair]), language),
-        F.upper(language),
-    )
     category = F.coalesce(item["category"], F.lit("UNKNOWN"))
-    posted = F.when(item["postedAt"].isNotNull(), F.concat(F.lit("발행 "), kst_minute(item["postedAt"]))).otherwise("미발행")
-    is_new = new_today(item["collectedAt"], now)
-    components = score_components(item, now)
-    translated, untranslated = fields.split_leading_date(shown), fields.split_leading_date(original)
+    posted = F.coalesce(F.concat(F.lit("발행 "), kst_minute(item["postedAt"])), F.lit("미발행"))
+    staged = df.withColumns({
+        "_original": original, "_korean": korean,
+        "_language": F.lower(strip(F.coalesce(item["sourceLanguage"], F.lit("")))),
+        "_new": new_today(item["collectedAt"], now),
+        "_components": score_components(item, now),
+        "_dates": date_caption(item["publishedAt"], item["collectedAt"]),
+    })
+    staged = staged.withColumns({
+        "_shown": fields.split_leading_date(F.coalesce(blank_to_null(F.col("_korean")), F.col("_original"))),
+        "_first": fields.split_leading_date(F.col("_original")),
+        "_shows_original": (F.col("_korean") != "") & (F.col("_korean") != F.col("_original")),
+    })
+    language = F.col("_language")
+    tags = F.create_map(*[F.lit(v) for pair in LANGUAGE_TAGS.items() for v in pair])
+    tag = F.coalesce(F.element_at(tags, language), F.upper(language))
     meta = F.concat_ws(
         " · ",
         blank_to_null(item["source"]),
@@ -244,33 +258,32 @@ def card_view(df: DataFrame, now: datetime | Column, out: str = "view") -> DataF
         label(F.coalesce(blank_to_null(item["sourceTier"]), F.lit("MEDIA")), TIER_LABELS),
         label(F.coalesce(item["status"], F.lit("NEW")), STATUS_LABELS),
         posted,
-        blank_to_null(date_caption(item["publishedAt"], item["collectedAt"])),
+        blank_to_null(F.col("_dates")),
     )
     photos = F.filter(
         F.transform(item["detailImageUrls"], lambda u: urls.photo_url(u)), lambda u: u.isNotNull(),
     )
-    return df.withColumn(
-        out,
-        F.struct(
-            translated["title"].alias("title_text"),
-            translated["date"].alias("title_date"),
-            F.when(shows_original, original).otherwise("").alias("original_title"),
-            untranslated["title"].alias("original_text"),
-            untranslated["date"].alias("original_date"),
-            F.when(shows_original & ~language.isin("", "unknown"), tag).otherwise("").alias("lang_tag"),
-            F.coalesce(urls.http_url(item["url"]), F.lit("")).alias("url"),
-            F.coalesce(urls.http_url(item["imageUrl"]), F.lit("")).alias("image_url"),
-            F.coalesce(photos, F.array().cast("array<string>")).alias("detail_image_urls"),
-            label(category, CATEGORY_LABELS).alias("category_label"),
-            is_new.alias("is_new_today"),
-            meta.alias("meta"),
-            summary_preview(item["summary"]).alias("summary"),
-            product_caption(item, today).alias("product_caption"),
-            score_of(components).alias("signal_score"),
-            signals(item["sourceTier"], is_new).alias("signal_labels"),
-            breakdown_of(components).alias("score_breakdown"),
-        ),
+    shows_original = F.col("_shows_original")
+    view = F.struct(
+        F.col("_shown.title").alias("title_text"),
+        F.col("_shown.date").alias("title_date"),
+        F.when(shows_original, F.col("_original")).otherwise("").alias("original_title"),
+        F.col("_first.title").alias("original_text"),
+        F.col("_first.date").alias("original_date"),
+        F.when(shows_original & ~language.isin("", "unknown"), tag).otherwise("").alias("lang_tag"),
+        F.coalesce(urls.http_url(item["url"]), F.lit("")).alias("url"),
+        F.coalesce(urls.http_url(item["imageUrl"]), F.lit("")).alias("image_url"),
+        F.coalesce(photos, F.array().cast("array<string>")).alias("detail_image_urls"),
+        label(category, CATEGORY_LABELS).alias("category_label"),
+        F.col("_new").alias("is_new_today"),
+        meta.alias("meta"),
+        summary_preview(item["summary"]).alias("summary"),
+        product_caption(item, today).alias("product_caption"),
+        score_of(F.col("_components")).alias("signal_score"),
+        signals(item["sourceTier"], F.col("_new")).alias("signal_labels"),
+        breakdown_of(F.col("_components")).alias("score_breakdown"),
     )
+    return staged.withColumn(out, view).select(*df.columns, out)
 
 
 def feed_items(df: DataFrame, now: datetime | Column, works: str = "works") -> DataFrame:
@@ -278,15 +291,15 @@ def feed_items(df: DataFrame, now: datetime | Column, works: str = "works") -> D
     now = as_now(now)
     item = item_columns(df)
     today = F.date_format(F.from_utc_timestamp(now, ZONE), "yyyy-MM-dd")
-    seen = card_view(df, now)
+    seen = card_view(df, now).withColumn("_at", effective_at(item["publishedAt"], item["collectedAt"]))
     return seen.select(
         F.col("content_id").alias("id"), "view",
         F.coalesce(blank_to_null(item["category"]), F.lit("UNKNOWN")).alias("category"),
         F.coalesce(item["source"], F.lit("")).alias("source"),
         F.coalesce(F.col(works), F.array().cast("array<string>")).alias("works"),
-        effective_at(item["publishedAt"], item["collectedAt"]).alias("effective_date"),
+        F.col("_at").alias("effective_date"),
         item["collectedAt"].alias("collectedAt"),
-        F.coalesce(blank_to_null(fields.iso_text(effective_at(item["publishedAt"], item["collectedAt"]))), F.lit(NO_DATE)).alias("date"),
+        F.coalesce(let(fields.iso_text(F.col("_at")), blank_to_null), F.lit(NO_DATE)).alias("date"),
         fields.iso_text(item["collectedAt"]).alias("collected"),
         post_piece(item, today).alias("post"),
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from listing_lake.functions.text import extract, present, squish, strip
+from listing_lake.functions.text import extract, let, present, squish, strip
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 PRICE = r"(?U)(?<![0-9])([0-9]{1,3}(?:,[0-9]{3})+)\s*원"
@@ -76,8 +77,7 @@ def krw_price(text: Column) -> Column:
 
 def pattern_price(text: Column, pattern: Column) -> Column:
     """Group 1 of the source's own pattern; below 1,000 or no match is no price."""
-    found = _to_amount(extract(text, pattern, 1))
-    return F.when(found >= MIN_PRICE, found)
+    return let(_to_amount(extract(text, pattern, 1)), lambda found: F.when(found >= MIN_PRICE, found))
 
 
 def source_price(text: Column, pattern: Column) -> Column:
@@ -99,15 +99,15 @@ def _has_any(upper_text: Column, words: tuple[str, ...]) -> Column:
 
 def sale_status(text: Column, extra_preorder: Column | None = None) -> Column:
     """Sold-out words win over preorder words; otherwise in stock."""
-    upper = F.upper(text)
-    preorder = _has_any(upper, PREORDER_WORDS)
-    if extra_preorder is not None:
-        preorder = preorder | F.coalesce(
-            F.exists(extra_preorder, lambda w: F.contains(upper, F.upper(w))), F.lit(False),
-        )
-    return (
-        F.when(_has_any(upper, SOLD_OUT_WORDS), "SOLD_OUT").when(preorder, "PREORDER").otherwise("IN_STOCK")
-    )
+    def status(upper: Column) -> Column:
+        preorder = _has_any(upper, PREORDER_WORDS)
+        if extra_preorder is not None:
+            preorder = preorder | F.coalesce(
+                F.exists(extra_preorder, lambda w: F.contains(upper, F.upper(w))), F.lit(False),
+            )
+        return F.when(_has_any(upper, SOLD_OUT_WORDS), "SOLD_OUT").when(preorder, "PREORDER").otherwise("IN_STOCK")
+
+    return let(F.upper(text), status)
 
 
 def _iso_day(year: Column, month: Column, day: Column) -> Column:
@@ -118,19 +118,23 @@ def _iso_day(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """ISO day of the first date in the text; a first date out of range gives null."""
-    g = [F.regexp_extract(text, DATE, i) for i in range(1, 7)]
-    short = F.when(g[3] != "", _iso_day(F.concat(F.lit("20"), g[3]), g[4], g[5]))
-    return F.when(g[0] != "", _iso_day(g[0], g[1], g[2])).otherwise(short)
+    def day(found: Column) -> Column:
+        g = [F.regexp_extract(found, DATE, i) for i in range(1, 7)]
+        short = F.when(g[3] != "", _iso_day(F.concat(F.lit("20"), g[3]), g[4], g[5]))
+        return F.when(g[0] != "", _iso_day(g[0], g[1], g[2])).otherwise(short)
+
+    return let(F.regexp_extract(text, DATE, 0), day)
 
 
 def deadline_near_keyword(text: Column) -> Column:
     """First valid date within 30 characters of a deadline word, words tried in order."""
 
     def near(word: str) -> Column:
-        at = F.locate(word, text) - 1
-        start = F.greatest(at - DEADLINE_REACH, F.lit(0))
-        window = F.substring(text, start + 1, at + DEADLINE_REACH - start)
-        return F.when(at >= 0, parse_date(window))
+        def window(at: Column) -> Column:
+            start = F.greatest(at - DEADLINE_REACH, F.lit(0))
+            return F.when(at >= 0, parse_date(F.substring(text, start + 1, at + DEADLINE_REACH - start)))
+
+        return let(F.locate(word, text) - 1, window)
 
     return F.coalesce(*[near(word) for word in DEADLINE_WORDS])
 
@@ -147,27 +151,29 @@ def release_window(title: Column) -> Column:
 def relative_day(text: Column, now: datetime | Column) -> Column:
     """ISO day of a relative Korean age such as three hours ago."""
     now = now if isinstance(now, Column) else F.lit(now)
-    value = strip(text)
-    amount = F.regexp_extract(value, RELATIVE_AGE, 1).try_cast("bigint")
-    unit = F.regexp_extract(value, RELATIVE_AGE, 2)
-    seconds = F.lit(None).cast("bigint")
-    for word, size in AGE_SECONDS.items():
-        seconds = F.when(unit == word, amount * size).otherwise(seconds)
-    moment = F.timestamp_micros(F.unix_micros(now) - seconds * 1_000_000)
-    yesterday = F.timestamp_micros(F.unix_micros(now) - 86_400_000_000)
-    day = (
-        F.when(value.isin("방금", "방금 전"), now).when(value == "어제", yesterday)
-        .when(seconds.isNotNull(), moment)
-    )
-    return F.date_format(day, "yyyy-MM-dd")
+
+    def seconds(value: Column) -> Column:
+        unit = F.regexp_extract(value, RELATIVE_AGE, 2)
+        size = F.lit(None).cast("bigint")
+        for word, length in AGE_SECONDS.items():
+            size = F.when(unit == word, F.lit(length)).otherwise(size)
+        return (
+            F.when(value.isin("방금", "방금 전"), F.lit(0)).when(value == "어제", F.lit(86400))
+            .otherwise(F.regexp_extract(value, RELATIVE_AGE, 1).try_cast("bigint") * size)
+        )
+
+    moment = F.timestamp_micros(F.unix_micros(now) - let(strip(text), seconds) * 1_000_000)
+    return F.date_format(moment, "yyyy-MM-dd")
 
 
 def published_value(raw: Column, pattern: Column, now: datetime | Column) -> Column:
     """struct(value, error): formatted date, else relative age, else an error text."""
     by_format = F.date_format(F.try_to_timestamp(raw, pattern), "yyyy-MM-dd")
     value = F.when(~present(pattern), raw).otherwise(F.coalesce(by_format, relative_day(raw, now)))
-    error = F.when(raw.isNotNull() & value.isNull(), F.concat(F.lit("게시일 형식 오류: "), raw))
-    return F.struct(value.alias("value"), error.alias("error"))
+    return let(value, lambda v: F.struct(
+        v.alias("value"),
+        F.when(raw.isNotNull() & v.isNull(), F.concat(F.lit("게시일 형식 오류: "), raw)).alias("error"),
+    ))
 
 
 def by_parse_kind(kind: Column, text: Column, extra_preorder: Column | None = None) -> Column:
@@ -186,7 +192,7 @@ def product_struct(
 ) -> Column:
     """Product fields, or null when there is no price of at least 1,000 won."""
     checked = checked_at if isinstance(checked_at, Column) else F.lit(checked_at)
-    return F.when(
+    return let(price, lambda price: F.when(
         price >= MIN_PRICE,
         F.struct(
             F.lit("PRODUCT").alias("entityType"),
@@ -197,7 +203,7 @@ def product_struct(
             deadline.alias("preorderEndAt"),
             checked.cast("timestamp").alias("productCheckedAt"),
         ),
-    )
+    ))
 
 
 def text_product(
@@ -212,22 +218,18 @@ def text_product(
 
 
 def has_figure_keyword(text: Column) -> Column:
-    lowered = F.lower(text)
-    hit = F.lit(False)
-    for word in FIGURE_KEYWORDS:
-        hit = hit | F.contains(lowered, F.lit(word.lower()))
-    return hit
+    return let(F.lower(text), lambda lowered: reduce(
+        lambda hit, word: hit | F.contains(lowered, F.lit(word.lower())), FIGURE_KEYWORDS, F.lit(False)))
 
 
 def split_leading_date(text: Column) -> Column:
     """struct(date, title) of a title that starts with a date."""
-    value = strip(text)
-    date = F.regexp_extract(value, LEADING_DATE, 1)
-    found = date != ""
-    return F.struct(
-        F.when(found, date).otherwise("").alias("date"),
-        F.when(found, F.regexp_extract(value, LEADING_DATE, 2)).otherwise(F.coalesce(text, F.lit(""))).alias("title"),
-    )
+    def split(value: Column) -> Column:
+        date = F.regexp_extract(value, LEADING_DATE, 1)
+        title = F.when(date != "", F.regexp_extract(value, LEADING_DATE, 2)).otherwise(F.coalesce(text, F.lit("")))
+        return F.struct(F.coalesce(date, F.lit("")).alias("date"), title.alias("title"))
+
+    return let(strip(text), split)
 
 
 _ISO = (
@@ -242,9 +244,7 @@ _MAIL_ZONES = {
 }
 
 
-def published_at(raw: Column) -> Column:
-    """Timestamp of a mail-style or ISO date; a value without zone is UTC; else null."""
-    value = strip(raw)
+def _mail_time(value: Column) -> Column:
     g = [F.regexp_extract(value, _MAIL, i) for i in range(1, 6)]
     year = F.when(F.length(g[2]) == 4, g[2]).otherwise(
         F.concat(F.when(g[2] > "68", F.lit("19")).otherwise(F.lit("20")), g[2])
@@ -255,29 +255,34 @@ def published_at(raw: Column) -> Column:
     for name, offset in _MAIL_ZONES.items():
         named = F.when(F.startswith(F.upper(g[4]), F.lit(name)), F.lit(offset)).otherwise(named)
     offset = F.when(zone != "", zone).otherwise(named)
-    mail = F.try_to_timestamp(
+    return F.try_to_timestamp(
         F.concat_ws(" ", g[0], F.initcap(g[1]), year, clock, offset), F.lit("d MMM yyyy H:mm:ss Z"),
     )
-    # Bring the ISO forms to one the cast understands.
+
+
+def _iso_time(value: Column) -> Column:
+    """Brings the ISO forms to one the cast understands."""
     iso = F.regexp_replace(value, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")
     iso = F.regexp_replace(iso, r"([T ][0-9]{2})(Z|[+-].*)?$", "$1:00$2")
     iso = F.regexp_replace(iso, r"([T ][0-9]{2}:[0-9]{2})(Z|[+-].*)?$", "$1:00$2")
     iso = F.regexp_replace(iso, r"([T ].*[+-][0-9]{2})([0-9]{2})$", "$1:$2")
     iso = F.regexp_replace(F.replace(iso, F.lit(","), F.lit(".")), r"([T ].*[+-][0-9]{2})$", "$1:00")
-    return (
-        F.when(value.rlike(_MAIL), mail)
-        .when(iso.rlike(_ISO), iso.try_cast("timestamp"))
-    )
+    return let(iso, lambda text: F.when(text.rlike(_ISO), text.try_cast("timestamp")))
+
+
+def published_at(raw: Column) -> Column:
+    """Timestamp of a mail-style or ISO date; a value without zone is UTC; else null."""
+    return let(strip(raw), lambda value: F.when(value.rlike(_MAIL), _mail_time(value)).otherwise(_iso_time(value)))
 
 
 def iso_text(ts: Column) -> Column:
     """ISO rendering with offset; empty for a missing time. Microseconds appear only when present."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
-    return F.coalesce(
-        F.concat(whole, F.when(micros > 0, F.format_string(".%06d", micros)).otherwise(""), F.lit("+00:00")),
-        F.lit(""),
-    )
+    def text(t: Column) -> Column:
+        micros = F.pmod(F.unix_micros(t), F.lit(1_000_000))
+        fraction = F.when(micros > 0, F.format_string(".%06d", micros)).otherwise("")
+        return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+    return F.coalesce(let(ts, text), F.lit(""))
 
 
 def default_metadata(df, sources, source_key: str = "source"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -19,6 +20,15 @@ _LETTERS = r"[A-Za-zÀ-ɏ가-힣぀-ヿ㐀-鿿]"
 _HANGUL = r"[가-힣]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` over a value computed once.
+
+    A column used twice is written twice into the plan, which multiplies when such expressions nest. A lambda over a
+    one-element array names the value instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def extract(text: Column, pattern: Column, group: int) -> Column:
     """`regexp_extract` with a pattern that is itself a column."""
     return F.call_function("regexp_extract", text, pattern, F.lit(group))
@@ -78,8 +88,10 @@ def fold_search(c: Column) -> Column:
 
 def hangul_share(c: Column) -> Column:
     """Share of Hangul among the letters of known scripts; null when there is no letter."""
-    letters = F.regexp_count(c, F.lit(_LETTERS))
-    return F.when(letters > 0, F.regexp_count(c, F.lit(_HANGUL)) / letters)
+    return let(
+        F.regexp_count(c, F.lit(_LETTERS)),
+        lambda letters: F.when(letters > 0, F.regexp_count(c, F.lit(_HANGUL)) / letters),
+    )
 
 
 def needs_translation(c: Column) -> Column:

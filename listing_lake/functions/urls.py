@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listing_lake.functions.text import extract, strip
+from listing_lake.functions.text import blank_to_null, extract, let, strip
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 TRACKING_PARAMS = (
@@ -90,6 +90,14 @@ def parts(url: Column) -> UrlParts:
     )
 
 
+def with_parts(url: Column, body: Callable[[UrlParts], Column]) -> Column:
+    """`body` over the pieces of a URL that are split once."""
+    p = parts(url)
+    split = F.struct(
+        p.scheme.alias("scheme"), p.authority.alias("authority"), p.path.alias("path"), p.query.alias("query"))
+    return let(split, lambda s: body(UrlParts(s["scheme"], s["authority"], s["path"], s["query"])))
+
+
 def tidy(url: Column) -> Column:
     """Trim, and drop the control characters a URL reader ignores."""
     return F.regexp_replace(F.translate(strip(url), "\t\r\n", ""), r"^[\x00-\x20]+", "")
@@ -105,21 +113,23 @@ def _drop_dots(path: Column) -> Column:
         .when(seg == ".", done).otherwise(F.array_append(done, seg)),
     )
     last = F.element_at(segments, -1)
-    whole = F.array_join(F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
-    whole = F.when(F.startswith(whole, F.lit("/")), whole).otherwise(F.concat(F.lit("/"), whole))
+    closing = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(empty)
+    whole = F.regexp_replace(F.concat(F.lit("/"), F.array_join(F.concat(kept, closing), "/")), "^//", "/")
     return F.when(path.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), whole).otherwise(path)
 
 
 def resolve(ref: Column, base: Column | None) -> Column:
     """Absolute form of `ref` seen from the page `base` (RFC 3986 5.2)."""
-    ref = tidy(ref)
     if base is None:
-        return ref
-    base = tidy(base)
-    r, b = parts(ref), parts(base)
+        return tidy(ref)
+    return let(tidy(ref), lambda r: let(tidy(base), lambda b: with_parts(
+        r, lambda rp: with_parts(b, lambda bp: _resolved(r, rp, b, bp)))))
+
+
+def _resolved(ref: Column, r: UrlParts, base: Column, b: UrlParts) -> Column:
     own_scheme = (r.scheme != "") & (r.scheme != b.scheme)
     has_authority = ref.rlike(_AFTER_SCHEME + "//")
-    query_mark = F.contains(F.regexp_replace(ref, "(?s)#.*$", ""), F.lit("?"))
+    query_mark = ref.rlike(r"(?s)^[^#]*\?")
     tail = F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
     # Empty path: keep the base path, and its query unless the reference brings one.
     stay = F.concat(
@@ -129,14 +139,14 @@ def resolve(ref: Column, base: Column | None) -> Column:
     )
     folder = F.regexp_replace(b.path, r"(?s)[^/]*$", "")
     joined = F.regexp_replace(F.concat(F.lit("/"), folder, r.path), "/{2,}", "/")
-    moved = F.concat(_drop_dots(F.when(F.startswith(r.path, F.lit("/")), r.path).otherwise(joined)), tail)
+    target = F.when(F.startswith(r.path, F.lit("/")), r.path).otherwise(joined)
     authority = F.concat(b.scheme, F.lit("://"), b.authority)
     return (
         F.when(ref == "", base)
         .when(own_scheme | (b.scheme == ""), ref)
         .when(has_authority, F.concat(b.scheme, F.lit(":"), F.regexp_replace(ref, _AFTER_SCHEME, "")))
         .when(r.path == "", F.concat(authority, stay))
-        .otherwise(F.concat(authority, moved))
+        .otherwise(F.concat(authority, let(target, _drop_dots), tail))
     )
 
 
@@ -153,35 +163,45 @@ def strip_tracking(query: Column, tracking: Sequence[str] = TRACKING_PARAMS) ->
 
 def canonical_shop_url(u: UrlParts) -> Column:
     """Short product URL of a registered shop, or null when no rule applies."""
-    host = u.host
-    canonical = F.lit(None).cast("string")
-    for name, hosts in SHOP_HOSTS.items():
-        canonical = F.when(host.isin(*hosts), F.lit(name)).otherwise(canonical)
+    before, after = PRODUCT_URL.split("{id}")
+
+    def canonical_host(host: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, hosts in SHOP_HOSTS.items():
+            out = F.when(host.isin(*hosts), F.lit(name)).otherwise(out)
+        return out
+
     # The first non-blank value of the id parameter counts; another spelling falls back to the path.
     wanted = F.filter(
         F.split(u.query, "&", -1),
         lambda p: (_param_key(p) == PRODUCT_ID_PARAM) & p.rlike("=."),
     )
-    value = F.try_element_at(wanted, F.lit(1))
-    from_query = F.regexp_extract(value, r"=(\d+)$", 1)
-    from_path = F.regexp_extract(u.path, PRODUCT_ID_PATH, 1)
-    number = F.coalesce(F.when(from_query != "", from_query), F.when(from_path != "", from_path))
-    before, after = PRODUCT_URL.split("{id}")
-    return F.concat(u.scheme, F.lit("://"), canonical, F.lit(before), number, F.lit(after))
+    number = F.coalesce(
+        blank_to_null(F.regexp_extract(F.try_element_at(wanted, F.lit(1)), r"=(\d+)$", 1)),
+        blank_to_null(F.regexp_extract(u.path, PRODUCT_ID_PATH, 1)),
+    )
+    return let(let(u.host, canonical_host), lambda host: F.when(
+        host.isNotNull(), F.concat(u.scheme, F.lit("://"), host, F.lit(before), number, F.lit(after))))
 
 
 def normalize_url(url: Column, base: Column | None = None, tracking: Sequence[str] = TRACKING_PARAMS) -> Column:
     """The one URL identity of a listing; null when the link cannot be stored."""
-    absolute = resolve(url, base)
-    u = parts(absolute)
-    query = strip_tracking(u.query, tracking)
-    path = F.when((u.path == "") | F.startswith(u.path, F.lit("/")), u.path).otherwise(F.concat(F.lit("/"), u.path))
-    clean = UrlParts(u.scheme, F.lower(u.authority), path, query)
-    plain = F.concat(
-        u.scheme, F.lit("://"), clean.authority, path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    return F.when(u.usable, F.coalesce(canonical_shop_url(clean), plain))
+
+    def cleaned(u: UrlParts) -> Column:
+        path = F.when((u.path == "") | F.startswith(u.path, F.lit("/")), u.path).otherwise(F.concat(F.lit("/"), u.path))
+        query = strip_tracking(u.query, tracking)
+        clean = F.struct(
+            u.scheme.alias("scheme"), F.lower(u.authority).alias("authority"), path.alias("path"), query.alias("query"))
+        return F.when(u.usable, let(clean, lambda s: spelled(UrlParts(s["scheme"], s["authority"], s["path"], s["query"]))))
+
+    def spelled(u: UrlParts) -> Column:
+        plain = F.concat(
+            u.scheme, F.lit("://"), u.authority, u.path,
+            F.when(u.query != "", F.concat(F.lit("?"), u.query)).otherwise(""),
+        )
+        return F.coalesce(canonical_shop_url(u), plain)
+
+    return let(resolve(url, base), lambda absolute: with_parts(absolute, cleaned))
 
 
 def doc_id(url_norm: Column) -> Column:
@@ -194,8 +214,8 @@ def content_id(storage_category: Column, doc: Column) -> Column:
 
 def http_url(url: Column) -> Column:
     """The trimmed URL when it is a plain absolute http(s) link, else null."""
-    value = strip(url)
-    return F.when((value != "") & (F.length(value) <= MAX_URL_LENGTH) & parts(value).usable, value)
+    return let(strip(url), lambda value: F.when(
+        (value != "") & (F.length(value) <= MAX_URL_LENGTH) & with_parts(value, lambda u: u.usable), value))
 
 
 def _unescape(c: Column) -> Column:
@@ -207,19 +227,26 @@ def _unescape(c: Column) -> Column:
         (r"&lt;", "<"), (r"&gt;", ">"), (r"&nbsp;", " "), (r"&#(?:38|x0*26);|&amp;?", "&"),
     ):
         out = F.regexp_replace(out, pattern, text)
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+    return out
 
 
 def photo_url(value: Column, base: Column | None = None, deny: Column | None = None) -> Column:
     """Absolute link of a photo; null for empty values, templates and site chrome."""
-    raw = _unescape(strip(value))
-    url = http_url(resolve(raw, base))
-    p = parts(url)
-    target = F.when(p.query != "", F.concat(p.path, F.lit("?"), p.query)).otherwise(p.path)
-    bad = (raw == "") | raw.rlike(r"(?i)^(?:data|javascript|blob):") | raw.rlike(TEMPLATE_TOKEN) | target.rlike(NOT_A_PHOTO)
-    if deny is not None:
-        bad = bad | F.coalesce(F.exists(deny, lambda d: F.rlike(target, F.concat(F.lit("(?i)"), d))), F.lit(False))
-    return F.when(~bad, url)
+
+    def chrome(target: Column) -> Column:
+        bad = target.rlike(NOT_A_PHOTO)
+        if deny is not None:
+            bad = bad | F.coalesce(
+                F.exists(deny, lambda d: F.rlike(target, F.concat(F.lit("(?i)"), d))), F.lit(False))
+        return bad
+
+    def usable(raw: Column) -> Column:
+        good = (raw != "") & ~raw.rlike(r"(?i)^(?:data|javascript|blob):") & ~raw.rlike(TEMPLATE_TOKEN)
+        target = lambda u: F.concat(u.path, F.when(u.query != "", F.concat(F.lit("?"), u.query)).otherwise(""))
+        return F.when(good, let(http_url(resolve(raw, base)), lambda url: F.when(
+            ~let(with_parts(url, target), chrome), url)))
+
+    return let(_unescape(strip(value)), usable)
 
 
 def allowed(text: Column, allow: Column, deny: Column, ignore_case: bool = False) -> Column:

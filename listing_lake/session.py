@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Korean page bytes need the wide Java charset list (x-windows-949).
     "spark.sql.legacy.javaCharsets": "true",
+    # Bytes a charset cannot read become replacement marks instead of failing the job.
+    "spark.sql.legacy.codingErrorAction": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
