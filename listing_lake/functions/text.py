@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 # What Python's str.split() and str.strip() treat as white space.
 SPACE = r"[\s\x1c-\x1f]"
+# What Python's str.splitlines() splits on.
+LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # Characters whose NFKC form is themselves, so `lower` (plus the sharp s) equals case folding.
 _PLAIN = (
     r"^[\x00-\x7fÀ-ÖØ-öø-ÿ　ぁ-ゖァ-ヺー"

@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions import fields, urls
-from listing_lake.functions.text import blank_to_null, present, squish, strip
+from listing_lake.functions.text import LINE_BREAK, blank_to_null, let, present, squish
 from listing_lake.operators import nodes as N
 from listing_lake.operators.listings import (
-    PRODUCT_COLUMNS, all_photos, first_photo, flag, read_field, read_price, read_values, rule_map,
+    PRODUCT_COLUMNS, all_photos, first_photo, flag, parsed_map, read_field, read_price, rule_map,
 )
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
@@ -56,7 +56,8 @@ def read_details(pages: DataFrame, now: datetime | Column, base: str = "url") ->
     nodes, src, page = F.col("nodes"), F.col("src"), F.col(base)
     deny = src["image_deny_patterns"]
     text_root = F.try_element_at(N.select_all(nodes, src["product_text_sel"]), F.lit(1))
-    part = F.when(src["product_text_sel"].isNull(), nodes).when(text_root.isNotNull(), N.subtree(nodes, text_root))
+    part = F.when(src["product_text_sel"].isNull(), nodes).otherwise(
+        let(text_root, lambda t: F.when(t.isNotNull(), N.subtree(nodes, t))))
     # Rules see the whole page: a root that is the page itself.
     whole = F.struct(
         F.lit(-1).alias("id"), (F.size(nodes) - 1).alias("last"), F.lit("").alias("path"),
@@ -66,25 +67,26 @@ def read_details(pages: DataFrame, now: datetime | Column, base: str = "url") ->
     ).withColumn("_head", head_images(nodes)).withColumn(
         "_gallery", N.images_of(N.select_all(nodes, src["detail_images_sel"]))
     ).withColumn("_mapped", F.when(F.size(src["detail_rules"]) > 0, rule_map(nodes, whole, src["detail_rules"])))
-    m = F.col("_mapped")
-    heads = F.filter(F.transform(F.col("_head"), lambda u: urls.photo_url(u, page, deny)), lambda u: u.isNotNull())
+    raw = raw.withColumn("_parsed", parsed_map(F.col("_mapped"), page, src["preorder_words"]))
+    m = F.col("_parsed")
+    heads = F.array_compact(F.transform(F.col("_head"), lambda u: urls.photo_url(u, page, deny)))
     photo = F.coalesce(first_photo(F.col("_selected"), page, deny), F.try_element_at(heads, F.lit(1)))
     clean = lambda u: urls.photo_url(u, None, deny)
-    mapped_gallery = F.filter(F.transform(read_values(m, "gallery", page), clean), lambda u: u.isNotNull())
+    mapped_gallery = F.array_compact(F.transform(m["gallery"]["values"], clean))
     product = fields.text_product(
         F.col("_text"), src["price_pattern"], src["preorder_words"], src["shop"], F.col("source"), now)
     return raw.withColumn("detail", F.struct(
         photo.alias("photo"),
         all_photos(F.col("_gallery"), page, deny).alias("gallery"),
         product.alias("product"),
-        clean(read_field(m, "image", page, src["preorder_words"])).alias("mapped_photo"),
+        clean(read_field(m, "image")).alias("mapped_photo"),
         F.array_distinct(mapped_gallery).alias("mapped_gallery"),
         m["gallery"].isNotNull().alias("has_gallery_rule"),
-        read_price(m, "price", page, src["preorder_words"]).alias("price"),
-        read_field(m, "status", page, src["preorder_words"]).alias("status"),
-        read_field(m, "deadline", page, src["preorder_words"]).alias("deadline"),
-        read_field(m, "title", page, src["preorder_words"]).alias("title"),
-    )).drop("_text", "_selected", "_head", "_gallery", "_mapped", "nodes")
+        read_price(m, "price").alias("price"),
+        read_field(m, "status").alias("status"),
+        read_field(m, "deadline").alias("deadline"),
+        read_field(m, "title").alias("title"),
+    )).drop("_text", "_selected", "_head", "_gallery", "_mapped", "_parsed", "nodes")
 
 
 def apply_details(candidates: DataFrame, details: DataFrame, now: datetime | Column) -> DataFrame:
@@ -141,12 +143,12 @@ def labelled_value(lines: Column, label: str) -> Column:
     plain = lambda x: F.trim(F.replace(x, F.lit("|"), F.lit(" ")))
     values = F.transform(
         lines,
-        lambda x, i: F.when(
-            (plain(x) == label) & (i + 1 < F.size(lines)), F.try_element_at(lines, i + 2),
+        lambda x, i: let(plain(x), lambda line: F.when(
+            (line == label) & (i + 1 < F.size(lines)), F.try_element_at(lines, i + 2),
         ).when(
-            F.startswith(plain(x), F.lit(label)),
-            blank_to_null(F.trim(F.substring(plain(x), len(label) + 1, F.length(x)), F.lit(" :"))),
-        ),
+            F.startswith(line, F.lit(label)),
+            let(F.trim(F.substring(line, len(label) + 1, F.length(line)), F.lit(" :")), blank_to_null),
+        )),
     )
     return F.coalesce(F.try_element_at(F.array_compact(values), F.lit(1)), F.lit(""))
 
@@ -155,10 +157,10 @@ def product_title(nodes: Column, lines: Column) -> Column:
     """Share title, else the first long heading, else the longest line naming a figure product."""
     first = lambda css: F.try_element_at(N.select_all(nodes, N.literal_selector(css)), F.lit(1))
     meta = squish(first('meta[property="og:title"]')["attrs"]["content"])
-    options = [F.when((meta != "") & ~meta.isin(*FIGURE_SHOP_TITLES), meta)]
+    options = [let(meta, lambda v: F.when((v != "") & ~v.isin(*FIGURE_SHOP_TITLES), v))]
     for css in FIGURE_TITLE_SELECTORS:
-        value = squish(N.text_of(nodes, first(css)))
-        options.append(F.when((F.length(value) >= 8) & (value != FIGURE_TITLE_STOP), value))
+        value = let(first(css), lambda n: squish(N.text_of(nodes, n)))
+        options.append(let(value, lambda v: F.when((F.length(v) >= 8) & (v != FIGURE_TITLE_STOP), v)))
     long_lines = F.filter(lines, lambda x: (F.length(x) >= 12) & fields.has_figure_keyword(x))
     ranked = F.array_sort(F.transform(
         long_lines, lambda x, i: F.struct((-F.length(x)).alias("k"), i.alias("i"), x.alias("line"))))
@@ -172,7 +174,7 @@ def figure_products(pages: DataFrame, now: datetime | Column, base: str = "url",
     deny = src["image_deny_patterns"]
     text = pages.withColumn("_text", N.joined_text(nodes, "\n"))
     # A text run may itself hold line breaks, so lines come from the joined text.
-    lines = F.filter(F.transform(F.split("_text", r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), squish), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("_text", LINE_BREAK), squish), lambda x: x != "")
     read = (
         text.withColumn("_lines", lines)
         .withColumn("title", product_title(nodes, F.col("_lines")))
@@ -182,7 +184,7 @@ def figure_products(pages: DataFrame, now: datetime | Column, base: str = "url",
         .withColumn("preorderEndAt", fields.labelled_deadline(F.col("_text")))
         .withColumn("price", fields.plausible_price(F.col("_text")))
     )
-    heads = F.filter(F.transform(F.col("_head"), lambda u: urls.photo_url(u, page, deny)), lambda u: u.isNotNull())
+    heads = F.array_compact(F.transform(F.col("_head"), lambda u: urls.photo_url(u, page, deny)))
     read = read.withColumn(
         "imageUrl", F.coalesce(first_photo(F.col("_selected"), page, deny), F.try_element_at(heads, F.lit(1))))
     if figure_only:
@@ -227,10 +229,10 @@ def figure_links(pages: DataFrame, figure_only: bool = True) -> DataFrame:
             lambda a: F.array_contains(F.split(F.coalesce(a["attrs"]["class"], F.lit("")), r"\s+"), FIGURE_CARD_CLASS),
         )
         card = F.try_element_at(cards, F.lit(-1))
-        name = F.try_element_at(N.select_in(nodes, card, name_sel), F.lit(1))
+        name = let(card, lambda c: F.try_element_at(N.select_in(nodes, c, name_sel), F.lit(1)))
         return F.struct(
             n["id"].alias("pos"), n["link"].alias("link"),
-            F.coalesce(squish(N.text_of(nodes, name)), F.lit("")).alias("list_title"),
+            F.coalesce(let(name, lambda n: squish(N.text_of(nodes, n))), F.lit("")).alias("list_title"),
         )
 
     picked = F.filter(nodes, lambda n: flag(n["attrs"]["href"] != "") & N.matches(nodes, n, sel))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions import fields, urls
-from listing_lake.functions.text import blank_to_null, present, squish, strip
+from listing_lake.functions.text import blank_to_null, let, present, squish, strip
 from listing_lake.operators import nodes as N
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
@@ -31,16 +31,15 @@ def rule_values(nodes: Column, root: Column, rule: Column) -> Column:
     def value(n: Column) -> Column:
         by_attr = F.coalesce(n["attrs"][rule["attr"]], F.lit(""))
         by_text = F.when(n["tag"] == "img", strip(F.coalesce(n["attrs"]["alt"], F.lit("")))).otherwise(N.text_of(nodes, n))
-        own = F.when(rule["attr"].isNull(), by_text).when(is_link, by_attr).otherwise(strip(by_attr))
-        # A badge text may stand in for an empty image attribute, but not in galleries.
-        fallback = flag(rule["attr"].isNotNull() & ~rule["many"] & (own == ""))
-        return F.struct(
-            F.when(fallback, by_text).otherwise(own).alias("v"),
-            (flag(is_link) & ~fallback).alias("is_url"),
-        )
+        own = F.when(is_link, by_attr).otherwise(strip(by_attr))
+        # Text stands in for a missing attribute rule, and for an empty attribute outside galleries.
+        return let(own, lambda v: let(
+            rule["attr"].isNull() | (~rule["many"] & (v == "")),
+            lambda by: F.struct(F.when(by, by_text).otherwise(v).alias("v"), (flag(is_link) & ~by).alias("is_url")),
+        ))
 
     found = F.filter(F.transform(N.select_in(nodes, root, rule["sel"]), value), lambda x: x["v"] != "")
-    return F.when(rule["many"], found).otherwise(F.slice(found, 1, 1))
+    return let(found, lambda v: F.when(rule["many"], v).otherwise(F.slice(v, 1, 1)))
 
 
 def rule_map(nodes: Column, root: Column, rules: Column) -> Column:
@@ -54,22 +53,26 @@ def rule_map(nodes: Column, root: Column, rules: Column) -> Column:
     ))
 
 
-def read_values(fields_map: Column, name: str, base: Column) -> Column:
-    """Values of a field with links made absolute."""
-    return F.transform(
-        fields_map[name]["values"], lambda x: F.when(x["is_url"], urls.resolve(x["v"], base)).otherwise(x["v"]),
+def parsed_map(fields_map: Column, base: Column, preorder: Column) -> Column:
+    """map field -> struct(parse, raw, values): links made absolute, then values parsed by the rule's kind."""
+    absolute = lambda x: F.when(x["is_url"], urls.resolve(x["v"], base)).otherwise(x["v"])
+    return F.transform_values(
+        fields_map,
+        lambda _, f: let(F.transform(f["values"], absolute), lambda raw: F.struct(
+            f["parse"].alias("parse"), raw.alias("raw"),
+            F.transform(raw, lambda v: fields.by_parse_kind(f["parse"], v, preorder)).alias("values"),
+        )),
     )
 
 
-def read_field(fields_map: Column, name: str, base: Column, preorder: Column) -> Column:
+def read_field(parsed: Column, name: str) -> Column:
     """Parsed first value of a field as text, null when the page has none."""
-    first = F.try_element_at(read_values(fields_map, name, base), F.lit(1))
-    return F.when(first.isNotNull(), fields.by_parse_kind(fields_map[name]["parse"], first, preorder))
+    return F.try_element_at(parsed[name]["values"], F.lit(1))
 
 
-def read_price(fields_map: Column, name: str, base: Column, preorder: Column) -> Column:
+def read_price(parsed: Column, name: str) -> Column:
     """A price counts only when its rule parses amounts."""
-    return F.when(fields_map[name]["parse"] == "krw", read_field(fields_map, name, base, preorder)).try_cast("bigint")
+    return F.when(parsed[name]["parse"] == "krw", read_field(parsed, name)).try_cast("bigint")
 
 
 def first_photo(candidates: Column, base: Column, deny: Column) -> Column:
@@ -80,17 +83,16 @@ def first_photo(candidates: Column, base: Column, deny: Column) -> Column:
 def all_photos(candidates: Column, base: Column, deny: Column) -> Column:
     """Distinct photo links, one per image, in document order."""
     one = lambda raw: F.try_element_at(
-        F.filter(F.transform(raw, lambda u: urls.photo_url(u, base, deny)), lambda u: u.isNotNull()), F.lit(1),
-    )
-    return F.array_distinct(F.filter(F.transform(candidates, one), lambda u: u.isNotNull()))
+        F.array_compact(F.transform(raw, lambda u: urls.photo_url(u, base, deny))), F.lit(1))
+    return F.array_distinct(F.array_compact(F.transform(candidates, one)))
 
 
 def _card_text(nodes: Column, n: Column, with_alt: Column) -> Column:
     alts = F.transform(
         F.filter(N.below(nodes, n), lambda x: x["tag"] == "img"), lambda x: F.coalesce(x["attrs"]["alt"], F.lit("")),
     )
-    text = N.text_of(nodes, n)
-    return squish(F.when(flag(with_alt), F.concat(text, F.lit(" "), F.array_join(alts, " "))).otherwise(text))
+    tail = F.when(flag(with_alt), F.concat(F.lit(" "), F.array_join(alts, " "))).otherwise("")
+    return squish(F.concat(N.text_of(nodes, n), tail))
 
 
 def with_links(pages: DataFrame) -> DataFrame:
@@ -122,7 +124,9 @@ def raw_listings(pages: DataFrame) -> DataFrame:
     nodes, src = F.col("nodes"), F.col("src")
 
     def from_link(k: Column) -> Column:
-        n, card = N.node(nodes, k["id"]), N.node(nodes, k["card"])
+        return let(N.node(nodes, k["id"]), lambda n: let(N.node(nodes, k["card"]), lambda card: one_link(k, n, card)))
+
+    def one_link(k: Column, n: Column, card: Column) -> Column:
         title_node = F.when(src["title_sel"].isNull(), n).otherwise(
             F.try_element_at(N.select_in(nodes, n, src["title_sel"]), F.lit(1)))
         date_node = F.try_element_at(N.select_in(nodes, n, src["published_sel"]), F.lit(1))
@@ -130,13 +134,13 @@ def raw_listings(pages: DataFrame) -> DataFrame:
         return F.struct(
             k["id"].alias("pos"),
             n["link"].alias("link"),
-            F.when(title_node.isNotNull(), squish(N.text_of(nodes, title_node))).alias("title"),
+            let(title_node, lambda t: F.when(t.isNotNull(), squish(N.text_of(nodes, t)))).alias("title"),
             F.when(products, _card_text(nodes, n, src["card_alt_text"])).alias("own_text"),
             F.when(products & card.isNotNull(), _card_text(nodes, card, src["card_alt_text"])).alias("card_text"),
             F.when(photos, N.images_of(N.select_in(nodes, n, src["list_image_sel"]))).alias("own_images"),
             F.when(photos & card.isNotNull(), N.images_of(N.select_in(nodes, card, src["list_image_sel"]))).alias("card_images"),
-            F.when(date_node.isNotNull(), F.coalesce(
-                blank_to_null(date_node["attrs"]["datetime"]), N.text_of(nodes, date_node))).alias("date_text"),
+            let(date_node, lambda t: F.when(t.isNotNull(), F.coalesce(
+                blank_to_null(t["attrs"]["datetime"]), N.text_of(nodes, t)))).alias("date_text"),
             F.lit(None).cast(f"map<string,struct<parse:string,values:{VALUES}>>").alias("mapped"),
         )
 
@@ -165,18 +169,18 @@ def extract_listings(pages: DataFrame, now: datetime | Column, base: str = "url"
     `pages` holds (source, page_no, url, nodes, src). The result keeps source, page_no and pos as the order of
     appearance; nothing is shuffled here.
     """
-    src, page, m = F.col("src"), F.col(base), F.col("mapped")
-    is_mapped = m.isNotNull()
+    src, page, m = F.col("src"), F.col(base), F.col("parsed")
     raw = raw_listings(with_links(pages))
-    link = F.when(is_mapped, read_field(m, "link", page, src["preorder_words"])).otherwise(F.col("link"))
+    raw = raw.withColumn("parsed", parsed_map(F.col("mapped"), page, src["preorder_words"])).drop("mapped")
+    is_mapped = m.isNotNull()
     stripped = F.when(
         present(src["title_strip_pattern"]),
         strip(F.regexp_replace(F.col("title"), src["title_strip_pattern"], F.lit(""))),
     ).otherwise(F.col("title"))
-    title = F.when(is_mapped, read_field(m, "title", page, src["preorder_words"])).otherwise(stripped)
+    link = F.when(is_mapped, read_field(m, "link")).otherwise(F.col("link"))
     typed = (
         raw.withColumn("listed_url", urls.normalize_url(link, page))
-        .withColumn("listed_title", title)
+        .withColumn("listed_title", F.when(is_mapped, read_field(m, "title")).otherwise(stripped))
         .filter(
             F.col("listed_url").isNotNull() & present(F.col("listed_title"))
             & urls.allowed(F.col("listed_url"), src["allow_patterns"], src["deny_patterns"])
@@ -184,30 +188,27 @@ def extract_listings(pages: DataFrame, now: datetime | Column, base: str = "url"
             & urls.allowed(F.col("listed_title"), F.array().cast("array<string>"), src["title_deny_patterns"])
         )
     )
-    deny = src["image_deny_patterns"]
-    mapped_photo = urls.photo_url(F.try_element_at(read_values(m, "image", page), F.lit(1)), page, deny)
-    photo = F.when(is_mapped, mapped_photo).otherwise(
-        F.coalesce(first_photo(F.col("own_images"), page, deny), first_photo(F.col("card_images"), page, deny)))
-    text_args = (src["price_pattern"], src["preorder_words"], src["shop"], F.col("source"), now)
-    from_text = F.coalesce(
-        fields.text_product(F.col("own_text"), *text_args), fields.text_product(F.col("card_text"), *text_args))
-    from_rules = fields.product_struct(
-        read_price(m, "price", page, src["preorder_words"]),
-        read_field(m, "status", page, src["preorder_words"]),
-        read_field(m, "deadline", page, src["preorder_words"]),
-        src["shop"], F.col("source"), now,
-    )
+    # The link's own image and text come first, then its card's.
+    none = F.array().cast("array<array<string>>")
+    images = F.when(
+        is_mapped, F.array(F.array(F.try_element_at(m["image"]["values"], F.lit(1)))),
+    ).otherwise(F.concat(F.coalesce("own_images", none), F.coalesce("card_images", none)))
+    by_text = F.array_compact(F.transform(F.array("own_text", "card_text"), lambda t: F.when(
+        t.isNotNull(),
+        fields.text_product(t, src["price_pattern"], src["preorder_words"], src["shop"], F.col("source"), now))))
+    by_rule = fields.product_struct(
+        read_price(m, "price"), read_field(m, "status"), read_field(m, "deadline"), src["shop"], F.col("source"), now)
+    product = F.when(is_mapped, by_rule).otherwise(F.try_element_at(by_text, F.lit(1)))
     published = fields.published_value(F.col("date_text"), src["published_pattern"], now)
     return (
         typed
-        .withColumn("_product", F.when(is_mapped, from_rules).otherwise(from_text))
+        .withColumn("_product", product)
         .withColumn("_published", published)
         .select(
             *[c for c in pages.columns if c not in ("nodes", "src", base)], "src", "pos",
             F.col("listed_url").alias("url"), F.col("listed_title").alias("title"),
-            F.when(is_mapped, read_field(m, "published", page, src["preorder_words"]))
-            .otherwise(F.col("_published.value")).alias("publishedAt"),
-            photo.alias("imageUrl"),
+            F.when(is_mapped, read_field(m, "published")).otherwise(F.col("_published.value")).alias("publishedAt"),
+            first_photo(images, page, src["image_deny_patterns"]).alias("imageUrl"),
             *[F.col(f"_product.{name}").alias(name) for name in PRODUCT_COLUMNS],
             F.array_compact(F.array(F.col("_published.error"))).alias("errors"),
         )

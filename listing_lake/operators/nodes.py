@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from listing_lake.functions.text import blank_to_null, strip
+from listing_lake.functions.text import blank_to_null, let, strip
 from listing_lake.functions.urls import LAZY_ATTRS
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
@@ -170,17 +170,17 @@ def text_of(nodes: Column, n: Column, sep: str = " ") -> Column:
 def visible_text(part: Column, sep: str = "\n") -> Column:
     """Text of a slice without subtrees hidden by class or style."""
     def hidden(x: Column) -> Column:
-        cls, style = F.lower(x["attrs"]["class"]), F.replace(F.lower(x["attrs"]["style"]), F.lit(" "), F.lit(""))
-        hit = F.contains(style, F.lit("display:none"))
-        hit = F.coalesce(hit, F.lit(False))
-        for word in HIDDEN_CLASS_HINTS:
-            hit = hit | F.coalesce(F.contains(cls, F.lit(word)), F.lit(False))
-        return hit
+        style = F.replace(F.lower(x["attrs"]["style"]), F.lit(" "), F.lit(""))
+        by_class = F.lower(x["attrs"]["class"]).rlike("|".join(HIDDEN_CLASS_HINTS))
+        return F.coalesce(by_class, F.lit(False)) | F.coalesce(F.contains(style, F.lit("display:none")), F.lit(False))
 
-    gone = F.transform(F.filter(part, hidden), lambda x: x["id"])
-    seen = F.filter(part, lambda x: (x["tag"] == "#text") & ~F.arrays_overlap(x["ancestors"], gone))
-    # arrays_overlap with an empty array is false, so a page without hidden nodes keeps all text.
-    return F.array_join(F.transform(seen, lambda x: x["text"]), sep)
+    def shown(nodes: Column) -> Column:
+        gone = F.transform(F.filter(nodes, hidden), lambda x: x["id"])
+        # arrays_overlap with an empty array is false, so a page without hidden nodes keeps all text.
+        return let(gone, lambda ids: F.filter(
+            nodes, lambda x: (x["tag"] == "#text") & ~F.arrays_overlap(x["ancestors"], ids)))
+
+    return F.array_join(F.transform(let(part, shown), lambda x: x["text"]), sep)
 
 
 def matches(nodes: Column, n: Column, sel: Column, root: Column | None = None) -> Column:
@@ -227,7 +227,7 @@ def image_candidates(n: Column) -> Column:
 
 def images_of(found: Column) -> Column:
     """array<array<string>>: raw link candidates of every image node of a selection."""
-    return F.filter(F.transform(found, image_candidates), lambda x: x.isNotNull())
+    return F.array_compact(F.transform(found, image_candidates))
 
 
 # --- cards --------------------------------------------------------------------------------------
@@ -237,13 +237,17 @@ def card_of(nodes: Column, links: Column, link: Column) -> Column:
     `links` are structs (id, key). An ancestor holds another item exactly when its range reaches the nearest
     link with a different key on either side.
     """
-    before = F.try_element_at(F.filter(links, lambda o: (o["id"] < link["id"]) & (o["key"] != link["key"])), F.lit(-1))
-    after = F.try_element_at(F.filter(links, lambda o: (o["id"] > link["id"]) & (o["key"] != link["key"])), F.lit(1))
-    near = F.slice(F.reverse(node(nodes, link["id"])["ancestors"]), 1, MAX_CARD_DEPTH)
-    fits = F.filter(
-        near,
-        lambda i: ~node(nodes, i)["tag"].isin("body", "html")
-        & F.coalesce(before["id"] < i, F.lit(True))
-        & F.coalesce(after["id"] > node(nodes, i)["last"], F.lit(True)),
-    )
-    return F.try_element_at(fits, F.lit(-1))
+    others = F.filter(links, lambda o: o["key"] != link["key"])
+    before = lambda found: F.coalesce(F.array_max(F.transform(
+        F.filter(found, lambda o: o["id"] < link["id"]), lambda o: o["id"])), F.lit(-1))
+    after = lambda found: F.coalesce(F.array_min(F.transform(
+        F.filter(found, lambda o: o["id"] > link["id"]), lambda o: o["id"])), F.size(nodes))
+    gap = let(others, lambda found: F.struct(before(found).alias("low"), after(found).alias("high")))
+    near = F.transform(
+        F.slice(F.reverse(node(nodes, link["id"])["ancestors"]), 1, MAX_CARD_DEPTH), lambda i: node(nodes, i))
+
+    def widest(g: Column) -> Column:
+        fits = F.filter(near, lambda a: ~a["tag"].isin("body", "html") & (g["low"] < a["id"]) & (g["high"] > a["last"]))
+        return F.try_element_at(fits, F.lit(-1))["id"]
+
+    return let(gap, widest)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions import fields, urls
-from listing_lake.functions.text import blank_to_null, squish, strip
+from listing_lake.functions.text import LINE_BREAK, blank_to_null, let, squish, strip
 from listing_lake.operators.listings import PRODUCT_COLUMNS, flag
 from listing_lake.operators.nodes import MIN_SIDE
 
@@ -42,12 +42,10 @@ def manual_entries(intake: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def card_title(link_text: Column, context_text: Column) -> Column:
     """The link's own text, else the first long line around it, else the placeholder."""
-    own = squish(link_text)
-    lines = F.transform(F.split(context_text, r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), squish)
+    lines = F.transform(F.split(context_text, LINE_BREAK), squish)
     line = F.try_element_at(F.filter(lines, lambda x: F.length(x) >= MIN_TITLE), F.lit(1))
-    return F.coalesce(
-        F.when(F.length(own) >= MIN_TITLE, F.substring(own, 1, TITLE_LENGTH)), F.substring(line, 1, TITLE_LENGTH),
-        F.lit(urls.UNTITLED))
+    own = let(squish(link_text), lambda v: F.when(F.length(v) >= MIN_TITLE, v))
+    return F.coalesce(F.substring(own, 1, TITLE_LENGTH), F.substring(line, 1, TITLE_LENGTH), F.lit(urls.UNTITLED))
 
 
 def card_image(images: Column, base: Column, deny: Column) -> Column:
@@ -55,7 +53,7 @@ def card_image(images: Column, base: Column, deny: Column) -> Column:
     side = lambda v: (F.coalesce(v, F.lit(0)) > 0) & (F.coalesce(v, F.lit(0)) < MIN_SIDE)
     large = F.filter(images, lambda i: ~(side(i["width"]) & side(i["height"])))
     links = F.transform(large, lambda i: urls.photo_url(F.coalesce(blank_to_null(i["lazy"]), i["src"]), base, deny))
-    return F.try_element_at(F.filter(links, lambda u: u.isNotNull()), F.lit(1))
+    return F.try_element_at(F.array_compact(links), F.lit(1))
 
 
 def rendered_cards(cards: DataFrame, now: datetime | Column, base: str = "page_url") -> DataFrame:
