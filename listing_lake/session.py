@@ -37,6 +37,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName("listing_lake")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.parquet.compression.codec", "zstd")
