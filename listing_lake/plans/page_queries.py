@@ -9,6 +9,7 @@ from listing_lake.functions.text import squish
 from listing_lake.operators import backfill, dedupe, details, frontier, listings, nodes as N, store
 from listing_lake.operators.shred import elements, shred_pages
 from listing_lake.plans.registry import HOST_SQL, NOW, norm_sql, query, squish_sql, table
+from listing_lake.session import materialize
 from listing_lake.sources import dims, pages as P
 
 NORM = norm_sql("url")
@@ -90,11 +91,11 @@ def page_tags(spark, sf):
 
 
 TEXT_SQL = """array_to_string(list_filter(list_transform(string_split(regexp_replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '<[^>]*>', chr(1), 'g'), chr(1)),
- lambda x: replace(replace(replace(trim(x, ' ' || chr(10)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), lambda x: x <> ''), ' ')"""
+ lambda x: replace(replace(replace(replace(trim(x, ' ' || chr(10)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), lambda x: x <> ''), ' ')"""
 
 
 @query("page_text", f"""
-SELECT page_id, sha256({TEXT_SQL.format("regexp_extract(html, '<body>(.*)</body>', 1, 's')")}) AS digest,
+SELECT page_id, sha256({TEXT_SQL.format("regexp_extract(html, '<body>(.*)$', 1, 's')")}) AS digest,
  CAST(length({TEXT_SQL.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}) AS BIGINT) AS n_title FROM pages""")
 def page_text(spark, sf):
     nodes = F.col("nodes")
@@ -192,14 +193,14 @@ def first_seen(spark, sf):
 
 @query("page_stop", f"WITH {STOP_SQL} SELECT source, page_no, url FROM kept")
 def page_stop(spark, sf):
-    rows = _listed(spark, sf).select("source", "page_no", "pos", "url")
+    rows = materialize(_listed(spark, sf).select("source", "page_no", "pos", "url"))
     read = _pages(spark, sf).select("source", F.col("page_id").alias("page_no"))
     return dedupe.dedupe_listings(rows, read).select("source", "page_no", "url")
 
 
 @query("item_limit", f"WITH {STOP_SQL} SELECT source, page_no, url, listed_rank FROM ranked WHERE listed_rank <= 20")
 def item_limit(spark, sf):
-    rows = _listed(spark, sf).select("source", "page_no", "pos", "url", F.col("src.max_items").alias("max_items"))
+    rows = materialize(_listed(spark, sf).select("source", "page_no", "pos", "url", F.col("src.max_items").alias("max_items")))
     read = _pages(spark, sf).select("source", F.col("page_id").alias("page_no"))
     kept = dedupe.dedupe_listings(rows, read, F.col("max_items"))
     return kept.select("source", "page_no", "url", F.col("listed_rank").cast("bigint").alias("listed_rank"))
@@ -344,21 +345,21 @@ def needs_detail(spark, sf):
 
 
 @query("fetch_queue", f"""
-WITH {STOP_SQL}, o AS (SELECT DISTINCT source FROM kept),
+WITH {STOP_SQL}, o AS (SELECT DISTINCT source FROM read),
 lists AS (SELECT source, 'list' AS kind, n AS page_no, 'https://' || source || '/l' || CASE WHEN n > 1 THEN '?p=' || n ELSE '' END AS url FROM o, range(1, 4) AS r(n)),
 allowed AS (SELECT source FROM lists WHERE page_no = 1 AND length(source) % 4 <> 0),
 q AS (SELECT * FROM lists UNION ALL SELECT source, 'detail', page_no, url FROM ranked WHERE listed_rank <= 20)
 SELECT source, kind, CAST(page_no AS BIGINT) AS page_no, url FROM q WHERE source IN (SELECT source FROM allowed) AND NOT regexp_matches(url, '^https?://[^/]*/(t|l\\?p=3)')""")
 def fetch_queue(spark, sf):
-    rows = _listed(spark, sf).select("source", "page_no", "pos", "url", "src")
+    rows = materialize(_listed(spark, sf).select("source", "page_no", "pos", "url"))
     read = _pages(spark, sf).select("source", F.col("page_id").alias("page_no"))
-    kept = dedupe.dedupe_listings(rows, read, F.col("src.max_items"))
-    names = dedupe.dedupe_listings(rows.drop("src"), read).select("source").distinct()
-    one = lambda kind: F.lit(None).cast(kind)
+    kept = dedupe.dedupe_listings(rows, read, WEB["max_items"])
+    names = read.select("source").distinct()
     sources = names.select(
         F.col("source").alias("name"), F.concat(F.lit("https://"), F.col("source"), F.lit("/l")).alias("url"), F.lit("p").alias("page_param"),
         F.lit(3).alias("max_pages"), F.lit(True).alias("respect_robots"))
-    listed = kept.withColumn("src", F.col("src").withField("product_mode", F.lit(True)))
+    options = dims.sources_table(spark, [WEB | {"product_mode": True}])
+    listed = dims.with_source(kept.withColumn("cfg", F.lit("web")), options, "cfg")
     origin = names.select("source", F.explode(F.array(F.lit("http://"), F.lit("https://"))).alias("s")).select(
         "source", F.concat("s", "source").alias("origin"))
     rule = lambda i, prefix: F.struct(F.lit(i).alias("rule_order"), F.lit(prefix).alias("path_prefix"), F.lit(False).alias("allowed"))

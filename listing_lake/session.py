@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write an intermediate result once to the shared folder and go on from the written table.
+
+    Cuts the lineage for work that several later steps read, outlives lost executors and keeps column pruning.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list, schema) -> DataFrame:
     """A driver-made dimension, marked for broadcast only while its row count is small."""
     from pyspark.sql import functions as F
