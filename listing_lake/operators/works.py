@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions.text import fold_title, strip
+from listing_lake.session import BROADCAST_ROWS, small_table
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 MIN_KEYWORD = 2
@@ -76,10 +77,10 @@ def text_seeds(text: Column) -> Column:
     return F.concat(tag("w:", every(_RUN, 0)), tag("p:", every(_WIDE_PAIR, 1)), tag("m:", every(_MARK, 0)))
 
 
-def _holds(text: Column) -> Column:
+def _holds(text: Column, fenced_text: Column) -> Column:
     edge = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("norm"), F.lit(r"\E(?![a-z0-9])"))
     return (
-        F.when(F.col("ascii") & F.col("fenced").isNotNull(), F.contains(_mark_runs(text), F.col("fenced")))
+        F.when(F.col("ascii") & F.col("fenced").isNotNull(), F.contains(fenced_text, F.col("fenced")))
         .when(F.col("ascii"), F.rlike(text, edge))
         .otherwise(F.contains(text, F.col("norm")))
     )
@@ -88,18 +89,24 @@ def _holds(text: Column) -> Column:
 def match_pairs(items: DataFrame, keywords: DataFrame, item_id: str, text: str, wide_dictionary: bool = False) -> DataFrame:
     """Distinct (item, work_ord, work, norm_name) of every work whose keyword the text holds.
 
-    `text` is already normalised. With a dictionary of ordinary size the text rides along the seed join, which
-    the optimiser broadcasts. A `wide_dictionary` that must be shuffled joins on bare seeds first and
-    fetches the text again for the surviving pairs only.
+    `text` is already normalised. A dictionary of at most `BROADCAST_ROWS` keywords goes to every task: a text keeps
+    only the seeds the dictionary has, so it is neither shuffled nor multiplied by its length. A larger one, or
+    `wide_dictionary`, joins on bare seeds by shuffle and brings the text back for the surviving pairs only.
     """
     seeds = keyword_seeds(keywords).select("work_ord", "work", "norm_name", "norm", "ascii", "fenced", "seed")
     keys = [item_id, "work_ord", "work", "norm_name"]
+    texts = items.select(item_id, F.col(text).alias("_t"), _mark_runs(F.col(text)).alias("_f"))
     if not wide_dictionary:
-        probes = items.select(item_id, text, F.explode(text_seeds(F.col(text))).alias("seed"))
-        return probes.join(seeds, "seed").filter(_holds(F.col(text))).select(*keys).distinct()
+        rows = seeds.limit(BROADCAST_ROWS + 1).collect()
+        if len(rows) <= BROADCAST_ROWS:
+            known = F.array(*[F.lit(s) for s in sorted({r.seed for r in rows})]).cast("array<string>")
+            hits = F.explode(F.array_intersect(text_seeds(F.col("_t")), known)).alias("seed")
+            found = texts.select(item_id, "_t", "_f", hits).join(small_table(items.sparkSession, rows, seeds.schema), "seed")
+            return found.filter(_holds(F.col("_t"), F.col("_f"))).select(*keys).distinct()
     probes = items.select(item_id, F.explode(text_seeds(F.col(text))).alias("seed"))
-    pairs = probes.join(seeds, "seed").drop("seed").distinct()
-    return pairs.join(items.select(item_id, text), item_id).filter(_holds(F.col(text))).select(*keys).distinct()
+    pairs = probes.join(seeds, "seed").drop("seed")
+    # The texts are the large side whatever their files' size says, so they are never broadcast.
+    return pairs.join(texts.hint("merge"), item_id).filter(_holds(F.col("_t"), F.col("_f"))).select(*keys).distinct()
 
 
 def match_works(items: DataFrame, keywords: DataFrame, item_id: str, text: str, wide_dictionary: bool = False) -> DataFrame:

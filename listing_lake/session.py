@@ -65,6 +65,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table split over all cores when its files give fewer splits; many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write an intermediate result once to the shared folder and go on from the written table.
 
