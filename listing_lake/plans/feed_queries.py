@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from listing_lake.functions import cards, fields
 from listing_lake.functions.text import fold_title
 from listing_lake.operators import backfill, feed, reports, store, works as W
+from listing_lake.operators.dedupe import first_seen as first_seen_rows
 from listing_lake.plans.field_queries import CAPTION_SQL, _product
-
+from listing_lake.plans.page_queries import FIRST_SQL, _listed
 from listing_lake.plans.registry import NOW, NOW_SQL, norm_sql, query, table
 from listing_lake.sources import dims, intake
-from listing_lake.session import small_table
+from listing_lake.session import materialize, small_table
 
 # --- events as content --------------------------------------------------------------------------
 CATEGORIES = ("ANIME", "CHARACTER", "FIGURE", "GOODS", "COLLECTION", "FESTIVAL", "UNKNOWN")
@@ -344,3 +345,21 @@ def compare_digest(spark, sf):
     return feed.digest(ranked, ["p_brand"]).select("p_brand", "body", "reply")
 
 
+
+
+@query("top_listings", f"""
+WITH {FIRST_SQL}, {WORKS_SQL}, m AS (SELECT DISTINCT url, source, page_no, https, work FROM (SELECT *, url LIKE 'https%' AS https, trim(regexp_replace(replace(replace(lower(title), 'ß', 'ss'), ':', ' '), '\\s+', ' ', 'g')) AS t FROM first_seen)
+ JOIN kw ON contains(t, norm) AND CASE WHEN regexp_matches(norm, '^[ -~]*$') THEN regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(norm) || '($|[^a-z0-9])') ELSE true END),
+g AS (SELECT url, source, page_no, https, count(*) AS n_works, page_no * 3600000000 AS age, 216 * 3600000000 AS h FROM m GROUP BY 1, 2, 3, 4)
+SELECT sha256(url) AS doc_id, url, source, n_works, (CASE WHEN age < h THEN ((h - age) * 700 + h) // (2 * h) ELSE 0 END + CASE WHEN https THEN 60 ELSE 0 END) / 10.0::DOUBLE AS score
+FROM g ORDER BY score DESC, page_no, url LIMIT 10""")
+def top_listings(spark, sf):
+    """The flagship: pages to listings, first-seen identity, work matching, scores, the best ten."""
+    rows = _listed(spark, sf).select("source", "page_no", "pos", "url", "title")
+    first = materialize(first_seen_rows(rows, ["source", "url"], ["page_no", "pos"]), "listings").withColumn("content_id", F.sha2("url", 256))
+    matched = W.with_works(first, W.work_keywords(_works(spark, sf))).filter(F.size("works") > 0)
+    age = F.col("page_no") * 3_600_000_000
+    dated = matched.withColumn("collectedAt", F.timestamp_micros(F.unix_micros(F.lit(NOW)) - age)).withColumn(
+        "sourceTier", F.when(F.startswith("url", F.lit("https")), "OFFICIAL"))
+    best = cards.with_score(dated, NOW).orderBy(F.desc("signal_score"), F.desc("effective_date"), "url").limit(10)
+    return best.select(F.col("content_id").alias("doc_id"), "url", "source", F.size("works").cast("bigint").alias("n_works"), F.col("signal_score").alias("score"))
