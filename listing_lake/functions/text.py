@@ -36,6 +36,14 @@ def extract(text: Column, pattern: Column, group: int) -> Column:
     return F.call_function("regexp_extract", text, pattern, F.lit(group))
 
 
+def found(text: Column, pattern: Column) -> Column:
+    """Whether a pattern column occurs in the text.
+
+    Unlike `rlike`, this keeps the last compiled pattern, which pays when one pattern meets many rows.
+    """
+    return F.regexp_instr(text, pattern) > 0
+
+
 def squish(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
     return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))

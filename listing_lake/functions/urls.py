@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listing_lake.functions.text import blank_to_null, extract, let, strip
+from listing_lake.functions.text import blank_to_null, extract, found, let, strip
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 TRACKING_PARAMS = (
@@ -237,7 +237,7 @@ def photo_url(value: Column, base: Column | None = None, deny: Column | None = N
         bad = target.rlike(NOT_A_PHOTO)
         if deny is not None:
             bad = bad | F.coalesce(
-                F.exists(deny, lambda d: F.rlike(target, F.concat(F.lit("(?i)"), d))), F.lit(False))
+                F.exists(deny, lambda d: found(target, F.concat(F.lit("(?i)"), d))), F.lit(False))
         return bad
 
     def usable(raw: Column) -> Column:
@@ -254,7 +254,7 @@ def allowed(text: Column, allow: Column, deny: Column, ignore_case: bool = False
     flag = F.lit("(?i)" if ignore_case else "")
 
     def hit(patterns: Column) -> Column:
-        return F.coalesce(F.exists(patterns, lambda p: F.rlike(text, F.concat(flag, p))), F.lit(False))
+        return F.coalesce(F.exists(patterns, lambda p: found(text, F.concat(flag, p))), F.lit(False))
 
     return ((F.coalesce(F.size(allow), F.lit(0)) <= 0) | hit(allow)) & ~hit(deny)
 

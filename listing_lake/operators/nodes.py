@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from listing_lake.functions.text import blank_to_null, let, strip
+from listing_lake.functions.text import blank_to_null, found, let, strip
 from listing_lake.functions.urls import LAZY_ATTRS
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
@@ -191,13 +191,13 @@ def matches(nodes: Column, n: Column, sel: Column, root: Column | None = None) -
         path = F.when(alt["scoped"], F.substring(n["path"], root_length + 1, F.length(n["path"]))).otherwise(n["path"])
         own = F.length(n["path"])
         return (
-            F.rlike(path, alt["path"])
+            found(path, alt["path"])
             & (
                 (F.size(alt["inside"]) == 0)
                 | F.forall(alt["inside"], lambda p: F.exists(
-                    below(nodes, n), lambda d: F.rlike(F.substring(d["path"], own + 1, F.length(d["path"])), p)))
+                    below(nodes, n), lambda d: found(F.substring(d["path"], own + 1, F.length(d["path"])), p)))
             )
-            & ((F.size(alt["outside"]) == 0) | ~F.exists(alt["outside"], lambda p: F.rlike(n["path"], p)))
+            & ((F.size(alt["outside"]) == 0) | ~F.exists(alt["outside"], lambda p: found(n["path"], p)))
             & ((F.size(alt["words"]) == 0) | F.forall(alt["words"], lambda w: F.contains(text_of(nodes, n, ""), w)))
         )
 
@@ -225,9 +225,9 @@ def image_candidates(n: Column) -> Column:
     return F.when((n["tag"] == "img") & ~(side("width") & side("height")), raw)
 
 
-def images_of(found: Column) -> Column:
+def images_of(selected: Column) -> Column:
     """array<array<string>>: raw link candidates of every image node of a selection."""
-    return F.array_compact(F.transform(found, image_candidates))
+    return F.array_compact(F.transform(selected, image_candidates))
 
 
 # --- cards --------------------------------------------------------------------------------------
@@ -238,11 +238,11 @@ def card_of(nodes: Column, links: Column, link: Column) -> Column:
     link with a different key on either side.
     """
     others = F.filter(links, lambda o: o["key"] != link["key"])
-    before = lambda found: F.coalesce(F.array_max(F.transform(
-        F.filter(found, lambda o: o["id"] < link["id"]), lambda o: o["id"])), F.lit(-1))
-    after = lambda found: F.coalesce(F.array_min(F.transform(
-        F.filter(found, lambda o: o["id"] > link["id"]), lambda o: o["id"])), F.size(nodes))
-    gap = let(others, lambda found: F.struct(before(found).alias("low"), after(found).alias("high")))
+    before = lambda rest: F.coalesce(F.array_max(F.transform(
+        F.filter(rest, lambda o: o["id"] < link["id"]), lambda o: o["id"])), F.lit(-1))
+    after = lambda rest: F.coalesce(F.array_min(F.transform(
+        F.filter(rest, lambda o: o["id"] > link["id"]), lambda o: o["id"])), F.size(nodes))
+    gap = let(others, lambda rest: F.struct(before(rest).alias("low"), after(rest).alias("high")))
     near = F.transform(
         F.slice(F.reverse(node(nodes, link["id"])["ancestors"]), 1, MAX_CARD_DEPTH), lambda i: node(nodes, i))
 

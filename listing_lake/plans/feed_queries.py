@@ -123,17 +123,19 @@ def latest_edits(spark, sf):
 
 
 @query("apply_edits", f"""
-WITH {ITEMS_SQL}, e AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'view' AND event_id % 5 < 4) AS last FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
-SELECT content_id, coalesce(list_extract(['NEW','KEEP','HOLD','IGNORE'], CAST(e.last % 5 + 1 AS INTEGER)), status) AS status FROM keyed LEFT JOIN e ON e.last = keyed.event_id AND e.user_id = keyed.user_id""")
+WITH {ITEMS_SQL} SELECT content_id, CASE WHEN event_type = 'view' AND k.event_id % 5 < 4 THEN list_extract(['IGNORE','HOLD','KEEP','NEW'], CAST(k.event_id % 5 + 1 AS INTEGER)) ELSE status END AS status,
+ posted OR event_type = 'click' AS posted, CASE WHEN event_type = 'signup' THEN 'note ' || k.event_id END AS note FROM keyed k JOIN events USING (event_id)""")
 def apply_edits(spark, sf):
-    """A user's last status edit goes to that very event's row."""
+    """Every event edits its own row: a status that may be unknown, a publish time, a note, or nothing."""
     content = _content(spark, sf)
-    e = table(spark, sf, "events").filter("event_id % 3 = 0 and event_type = 'view' and event_id % 5 < 4")
-    last = e.groupBy("user_id").agg(F.max("event_id").alias("last"))
-    value = F.element_at(F.array(*[F.lit(x) for x in store.STATUSES]), (F.col("last") % 5 + 1).cast("int"))
-    ids = content.select("content_id", F.split_part("content_id", F.lit(":"), F.lit(2)).cast("bigint").alias("last"))
-    edits = ids.join(last, "last").select("content_id", F.lit("status").alias("field"), value.alias("value"), F.lit(NOW).alias("ts"))
-    return store.apply_edits(store.conform(content), edits).select("content_id", "status")
+    value = F.element_at(F.array(*[F.lit(x) for x in ("IGNORE", "HOLD", "KEEP", "NEW", "OTHER")]), (F.col("event_id") % 5 + 1).cast("int"))
+    kind = F.col("event_type")
+    field = F.when(kind == "view", "status").when(kind == "click", "postedAt").when(kind == "signup", "note").otherwise("else")
+    ids = content.select("content_id", F.split_part("content_id", F.lit(":"), F.lit(2)).cast("bigint").alias("event_id"))
+    edits = table(spark, sf, "events").join(ids, "event_id").select("content_id", field.alias("field"), "ts", F.when(
+        kind == "signup", F.concat(F.lit(" note "), F.col("event_id").cast("string"))).otherwise(value).alias("value"))
+    rows = store.apply_edits(store.conform(content), edits)
+    return rows.select("content_id", "status", F.col("postedAt").isNotNull().alias("posted"), "note")
 
 
 @query("run_report", """
@@ -168,14 +170,14 @@ def source_eligibility(spark, sf):
 
 
 @query("overlay_merge", """
-WITH o AS (SELECT c_custkey AS k, c_name AS extract, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS shop FROM customer WHERE c_custkey % 10 = 0)
+WITH o AS (SELECT c_custkey AS k, c_name AS extract, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS shop FROM customer)
 SELECT s_suppkey AS key, coalesce(o.extract, s_name) AS extract, coalesce(CASE WHEN s_suppkey % 20 = 0 THEN NULL ELSE 'own' END, o.shop) AS shop, 'yes' AS enabled FROM supplier LEFT JOIN o ON k = s_suppkey
 UNION ALL SELECT k, extract, coalesce(shop, 'none'), 'no' FROM o WHERE k NOT IN (SELECT s_suppkey FROM supplier)""")
 def overlay_merge(spark, sf):
     key = F.col("s_suppkey")
     base = table(spark, sf, "supplier").select(key.alias("key"), F.col("s_name").alias("extract"), F.when(key % 20 != 0, "own").alias("shop"), F.lit("yes").alias("enabled"))
     c = F.col("c_custkey")
-    overlay = table(spark, sf, "customer").filter(c % 10 == 0).select(c.alias("key"), F.col("c_name").alias("extract"), F.when(c % 2 == 0, F.col("c_mktsegment")).alias("shop"))
+    overlay = table(spark, sf, "customer").select(c.alias("key"), F.col("c_name").alias("extract"), F.when(c % 2 == 0, F.col("c_mktsegment")).alias("shop"))
     return dims.overlay_merge(base, overlay, "key", ["extract"], ["shop"], {"enabled": "no", "shop": "none"})
 
 
@@ -226,13 +228,13 @@ def rendered_cards(spark, sf):
 
 @query("translation_backfill", """
 WITH d AS (SELECT doc_id, doc_id % 4 = 0 AS has_ko, length(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) > 0 AS need, md5(text) AS k FROM documents),
-t AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE doc_id % 3 = 0)
+t AS (SELECT DISTINCT md5(text) AS k FROM documents WHERE lang <> 'de')
 SELECT count(*) AS processed, count(*) FILTER (WHERE NOT has_ko AND need AND k IN (SELECT k FROM t)) AS updated, count(*) FILTER (WHERE has_ko OR NOT need) AS skipped,
  count(*) FILTER (WHERE NOT has_ko AND need AND k NOT IN (SELECT k FROM t)) AS failed FROM d""")
 def translation_backfill(spark, sf):
     docs = table(spark, sf, "documents")
     content = store.conform(docs.select(F.col("doc_id").cast("string").alias("content_id"), F.col("text").alias("title"), F.when(F.col("doc_id") % 4 == 0, "제목").alias("titleKo")))
-    known = docs.filter("doc_id % 3 = 0").select(backfill.text_hash(F.col("text")).alias("text_hash")).distinct()
+    known = docs.filter("lang <> 'de'").select(backfill.text_hash(F.col("text")).alias("text_hash")).distinct()
     translations = known.withColumn("text_ko", F.lit("번역")).withColumn("language", F.lit("en"))
     return backfill.translation_counters(content, backfill.translate(content, translations, NOW))
 
@@ -289,10 +291,9 @@ def unmatched_items(spark, sf):
 @query("visible_aliases", f"""
 WITH {WORKS_SQL}, words AS (SELECT work_ord, work, norm, min_by(k, ord) AS k, min(ord) AS ord FROM (SELECT work_ord, work, trim(regexp_replace(replace(lower(k), 'ß', 'ss'), '\\s+', ' ', 'g')) AS norm, trim(k) AS k, item_id * 2 + CASE WHEN k = name0 THEN 0 ELSE 1 END AS ord
  FROM (SELECT item_id, name AS name0, k, trim(regexp_replace(replace(lower(name), 'ß', 'ss'), '\\s+', ' ', 'g')) AS nn FROM kw0 WHERE trim(k) <> '') JOIN names USING (nn)) GROUP BY 1, 2, 3)
-SELECT work_ord, work AS name, string_agg(k, '|' ORDER BY ord) AS aliases FROM words WHERE work IN (SELECT work FROM pairs WHERE doc_id % 2 = 0) GROUP BY 1, 2""")
+SELECT work_ord, work AS name, string_agg(k, '|' ORDER BY ord) AS aliases FROM words WHERE work IN (SELECT work FROM pairs) GROUP BY 1, 2""")
 def visible_aliases(spark, sf):
-    seen = _matched(spark, sf).filter("doc_id % 2 = 0")
-    return W.visible_aliases(seen, _works(spark, sf)).select("work_ord", "name", F.array_join("aliases", "|").alias("aliases"))
+    return W.visible_aliases(_matched(spark, sf), _works(spark, sf)).select("work_ord", "name", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query("facets", f"""

@@ -9,7 +9,7 @@ from listing_lake.functions.text import squish
 from listing_lake.operators import backfill, dedupe, details, frontier, listings, nodes as N, store
 from listing_lake.operators.shred import elements, shred_pages
 from listing_lake.plans.registry import HOST_SQL, NOW, norm_sql, query, squish_sql, table
-from listing_lake.session import materialize
+from listing_lake.session import materialize, spread
 from listing_lake.sources import dims, pages as P
 
 NORM = norm_sql("url")
@@ -215,8 +215,8 @@ def empty_listings(spark, sf):
 
 # --- content ------------------------------------------------------------------------------------
 def _stored(pages: DataFrame) -> DataFrame:
-    """Even pages as the content table."""
-    return store.conform(pages.filter("page_id % 2 = 0").select(
+    """The https pages as the content table."""
+    return store.conform(pages.filter(F.startswith("url", F.lit("https"))).select(
         F.col("url"), F.concat(F.lit("old "), F.col("page_id").cast("string")).alias("title"), F.lit("KEEP").alias("status"),
         F.lit("GOODS").alias("storage_category"), urls.doc_id(urls.normalize_url(F.col("url"))).alias("doc_id"),
         F.concat(F.lit("GOODS:"), urls.doc_id(urls.normalize_url(F.col("url")))).alias("content_id"),
@@ -237,8 +237,8 @@ def _arrivals(pages: DataFrame) -> DataFrame:
 
 
 ARRIVED_SQL = f"""
-p AS (SELECT page_id, {NORM} AS u FROM pages), g AS (SELECT u, min(page_id) AS first_id, max(page_id) AS last_id, count(*) AS n,
- min(page_id) FILTER (WHERE page_id % 2 = 0) AS old_id, count(*) FILTER (WHERE page_id % 2 = 0) AS n_old FROM p GROUP BY u)"""
+p AS (SELECT page_id, url LIKE 'https%' AS old, {NORM} AS u FROM pages), g AS (SELECT u, min(page_id) AS first_id, max(page_id) AS last_id, count(*) AS n,
+ min(page_id) FILTER (WHERE old) AS old_id, count(*) FILTER (WHERE old) AS n_old FROM p GROUP BY u)"""
 
 
 @query("content_merge", f"""
@@ -264,19 +264,19 @@ def merge_counters(spark, sf):
 
 
 def _documents(pages: DataFrame) -> DataFrame:
-    """Each page stored under its own id; every third one again under its number; every seventh with a broken link."""
+    """Each page stored under its own id; pages below /fr/ again under their number; those below /de/ with a broken link."""
     own = pages.select(urls.doc_id(urls.normalize_url(F.col("url"))).alias("doc_id"), "url", F.lit("NEW").alias("status"))
-    legacy = pages.filter("page_id % 3 = 0").select(F.format_string("n%08d", "page_id").alias("doc_id"), F.concat(
+    legacy = pages.filter(F.contains("url", F.lit("/fr/"))).select(F.format_string("n%08d", "page_id").alias("doc_id"), F.concat(
         F.regexp_extract("url", "^[^#]*", 0), F.lit("#legacy")).alias("url"), F.lit("KEEP").alias("status"))
-    broken = pages.filter("page_id % 7 = 0").select(F.format_string("x%08d", "page_id").alias("doc_id"), F.regexp_replace(
+    broken = pages.filter(F.contains("url", F.lit("/de/"))).select(F.format_string("x%08d", "page_id").alias("doc_id"), F.regexp_replace(
         "url", "^https?", "ftp").alias("url"), F.lit("HOLD").alias("status"))
     return own.unionByName(legacy).unionByName(broken).withColumn("content_id", F.concat(F.lit("GOODS:"), F.col("doc_id")))
 
 
 DOCUMENTS_SQL = f"""
 d AS (SELECT sha256({NORM}) AS doc_id, url, 'NEW' AS status FROM pages
- UNION ALL SELECT 'n' || lpad(CAST(page_id AS VARCHAR), 8, '0'), regexp_extract(url, '^[^#]*') || '#legacy', 'KEEP' FROM pages WHERE page_id % 3 = 0
- UNION ALL SELECT 'x' || lpad(CAST(page_id AS VARCHAR), 8, '0'), regexp_replace(url, '^https?', 'ftp'), 'HOLD' FROM pages WHERE page_id % 7 = 0),
+ UNION ALL SELECT 'n' || lpad(CAST(page_id AS VARCHAR), 8, '0'), regexp_extract(url, '^[^#]*') || '#legacy', 'KEEP' FROM pages WHERE url LIKE '%/fr/%'
+ UNION ALL SELECT 'x' || lpad(CAST(page_id AS VARCHAR), 8, '0'), regexp_replace(url, '^https?', 'ftp'), 'HOLD' FROM pages WHERE url LIKE '%/de/%'),
 i AS (SELECT doc_id, status, url AS raw_url, {NORM} AS url FROM d)"""
 
 
@@ -328,7 +328,7 @@ def robots_filter(spark, sf):
 
 @query("needs_detail", f"""
 WITH s AS (SELECT page_id, {NORM} AS u FROM pages),
-t AS (SELECT u, min(page_id) AS p FROM s WHERE page_id % 5 <> 0 GROUP BY u),
+t AS (SELECT u, min(page_id) AS p FROM s WHERE u LIKE 'https%' GROUP BY u),
 c AS (SELECT user_id, max(ts) AS at FROM events GROUP BY user_id)
 SELECT s.page_id, CASE WHEN t.p IS NULL THEN true WHEN s.page_id % 3 = 0 AND t.p % 4 = 0 THEN true WHEN s.page_id % 2 = 1 AND t.p % 4 = 1 THEN false
  WHEN c.at IS NULL THEN true ELSE epoch_us(TIMESTAMP '2024-01-31') - epoch_us(c.at) >= 26 * 3600000000 END AS needs_detail
@@ -337,7 +337,7 @@ def needs_detail(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     checked = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("detailCheckedAt"))
     p = F.col("page_id")
-    content = store.conform(pages.filter(p % 5 != 0).join(checked, p == F.col("user_id"), "left").select(
+    content = store.conform(pages.filter(F.startswith("url", F.lit("https"))).join(checked, p == F.col("user_id"), "left").select(
         "url", F.format_string("n%08d", p).alias("doc_id"), F.format_string("G:n%08d", p).alias("content_id"), "detailCheckedAt",
         F.when(p % 4 == 1, "https://i.example/a.jpg").alias("imageUrl"), F.when(p % 4 != 0, F.array().cast("array<string>")).alias("detailImageUrls")))
     listed = pages.select("page_id", "url", (p % 2 == 0).alias("product_mode"), (p % 3 == 0).alias("want_gallery"), F.lit(26.0).alias("refresh_hours"))
@@ -399,7 +399,7 @@ SELECT 'https://shop.example/product/' || p_partkey AS url, p_name || ' ' || p_t
  CASE WHEN p_partkey * 37 + 500 >= 1000 AND p_size % 12 + 1 <= 12 THEN '2026-' || lpad(CAST(p_size % 12 + 1 AS VARCHAR), 2, '0') || '-05' END AS deadline,
  'https://shop.example/img/' || p_partkey || '.jpg' AS image_url FROM part""")
 def mapped_listing(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))
     price = F.format_number(F.col("p_partkey") * 37 + 500, 0)
     size = F.col("p_size")
     badge = F.when(size % 4 == 0, '<i class="badge"></i><img class="sold" alt="품절">').when(
@@ -422,7 +422,7 @@ SELECT 'https://shop.example/product/' || p_partkey AS url, CASE WHEN mode = 0 A
  CASE WHEN mode < 2 THEN 'https://shop.example/og/' || p_partkey || '.jpg' ELSE 'https://shop.example/card.jpg' END AS image_url,
  CASE mode WHEN 1 THEN NULL WHEN 0 THEN 'https://shop.example/d1.jpg' ELSE 'https://shop.example/og/' || p_partkey || '.jpg,https://shop.example/d1.jpg' END AS gallery FROM d""")
 def detail_modes(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))
     modes = [
         {"name": "product", "product_mode": True, "product_text_selector": ".panel", "detail_images_selector": ".g img"},
         {"name": "image", "fetch_detail_image": True},
@@ -454,7 +454,7 @@ SELECT 'https://f.example/shop/detail.php?pno=' || p_partkey AS url, '[' || (p_s
  CASE WHEN p_size % 5 = 1 THEN '2026-03-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS deadline, (p_size % 12 + 1) || '월 입고' AS release_window,
  p_brand AS manufacturer, p_size || 'cm' AS size_text FROM part WHERE p_type <> 'ECONOMY'""")
 def figure_products(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"))
     size, key = F.col("p_size"), F.col("p_partkey").cast("string")
     name = F.concat(F.lit("["), (size % 12 + 1).cast("string"), F.lit("월 입고] "), F.when(
         F.col("p_type") == "ECONOMY", "일반 상품 ").otherwise("피규어 "), F.col("p_name"))
