@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listing_lake.functions import urls
 from listing_lake.functions.text import present, strip
-from listing_lake.session import shared_dir
+from listing_lake.session import materialize, shared_dir
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 PRODUCT_FIELDS = (
@@ -116,8 +116,9 @@ def merge_content(
     shuffled at full width: only ids and URLs are, and the changed documents join back by id.
     """
     now = (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
-    staged = stage(candidates, seq)
-    result = outcome(staged, canonical_documents(content, staged))
+    # Both are read several times below: written once, so neither the candidates nor the URL index is computed again.
+    staged = materialize(stage(candidates, seq), "staged")
+    result = materialize(outcome(staged, canonical_documents(content, staged)), "outcome")
     product_names = [f.name for f in result.schema["product"].dataType.fields]
     base_names = [f.name for f in result.schema["base"].dataType.fields]
 

@@ -39,6 +39,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
         SparkSession.builder.master(f"local[{cores}]").appName("listing_lake")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture per column operation costs more than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.parquet.compression.codec", "zstd")
