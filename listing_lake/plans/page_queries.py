@@ -215,11 +215,13 @@ def empty_listings(spark, sf):
 
 # --- content ------------------------------------------------------------------------------------
 def _stored(pages: DataFrame) -> DataFrame:
-    """The https pages as the content table."""
-    return store.conform(pages.filter(F.startswith("url", F.lit("https"))).select(
-        F.col("url"), F.concat(F.lit("old "), F.col("page_id").cast("string")).alias("title"), F.lit("KEEP").alias("status"),
-        F.lit("GOODS").alias("storage_category"), urls.doc_id(urls.normalize_url(F.col("url"))).alias("doc_id"),
-        F.concat(F.lit("GOODS:"), urls.doc_id(urls.normalize_url(F.col("url")))).alias("content_id"),
+    """The https pages as the content table, one document per URL."""
+    norm = pages.filter(F.startswith("url", F.lit("https"))).withColumn("u", urls.normalize_url(F.col("url")))
+    first = norm.groupBy("u").agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
+    return store.conform(first.select(
+        "url", F.concat(F.lit("old "), F.col("page_id").cast("string")).alias("title"), F.lit("KEEP").alias("status"),
+        F.lit("GOODS").alias("storage_category"), urls.doc_id(F.col("u")).alias("doc_id"),
+        F.concat(F.lit("GOODS:"), urls.doc_id(F.col("u"))).alias("content_id"),
         F.when(F.col("page_id") % 4 == 0, F.col("page_id")).alias("price")))
 
 
