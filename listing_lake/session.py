@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,24 @@ RUNTIME_CONF = {
 BROADCAST_ROWS = 5_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per application."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_listing_lake_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="listing_lake_src_")) / "listing_lake.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._listing_lake_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere, and give its executors this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
