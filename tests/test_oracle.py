@@ -11,6 +11,7 @@ if not TABLES.is_dir():
     pytest.skip("no test tables", allow_module_level=True)
 
 import __spark_entry__ as entry  # noqa: E402
+from listing_lake.plans.registry import ORACLES, QUERIES  # noqa: E402
 
 
 def plain(value):
@@ -25,7 +26,7 @@ def sql():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sql, name):
     frame = entry.queries()[name](spark, str(TABLES))
     columns = sorted(frame.columns)
@@ -38,4 +39,4 @@ def test_query(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
