@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from listing_lake.llm import line_dedup, quality_classifier, quality_rules, sharding
+import public_tokenizers
+
+from listing_lake.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules, sharding
 from listing_lake.llm.common import as_content
 from listing_lake.session import configure
 
@@ -136,3 +138,18 @@ def op8_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that other documents keep."""
     left = line_dedup.drop_shared_lines(_content(spark, sf_dir), min_chars=20, min_rows=3)
     return left.select(F.col("content_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("summary").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_sentencepiece_bytes")
+def op4_sentencepiece_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by the byte-level vocabulary, and what they decode to."""
+    coded = byte_bpe.digest_content(
+        _content(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.withColumnRenamed("content_id", "doc_id")
+
+
+@query("op9_vector_packing")
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4,096 tokens."""
+    packed = packing.pack_content(_content(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumnRenamed("content_id", "doc_id")
