@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import uuid
+
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules, sharding
+from listing_lake.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content
-from listing_lake.session import configure
+from listing_lake.session import configure, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +102,18 @@ FROM j GROUP BY doc_id
 """
 
 
+PAGES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS response FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(i // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - i % 8 * 5 AS INT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM d
+"""
+
+
 @query("op1_feistel_shards")
 def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts."""
@@ -153,3 +167,11 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4,096 tokens."""
     packed = packing.pack_content(_content(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return packed.withColumnRenamed("content_id", "doc_id")
+
+
+@query("op10_chunked_records", PAGES_SQL)
+def op10_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in chunks, and read back."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path, least_bytes=0)
+    return warc.resolve(warc.read_records(spark, path))
