@@ -8,7 +8,7 @@ import uuid
 
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules, sharding, warc
+from listing_lake.llm import byte_bpe, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content
 from listing_lake.session import configure, shared_dir
 
@@ -175,3 +175,10 @@ def op10_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archive(table(spark, sf_dir, "pages"), path, least_bytes=0)
     return warc.resolve(warc.read_records(spark, path))
+
+
+@query("op6_prefix_join")
+def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    groups = ngram_join.near_duplicates(_content(spark, sf_dir), width=5, percent=80)
+    return groups.select(F.col("content_id").alias("doc_id"), "n_shingles", "component_id")
