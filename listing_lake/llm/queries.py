@@ -8,7 +8,7 @@ import uuid
 
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from listing_lake.llm import byte_bpe, fingerprints, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content
 from listing_lake.session import configure, shared_dir
 
@@ -182,3 +182,18 @@ def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     groups = ngram_join.near_duplicates(_content(spark, sf_dir), width=5, percent=80)
     return groups.select(F.col("content_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op7_lexicon_fingerprints")
+def op7_lexicon_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are to those of the edit and of the next document."""
+    content = _content(spark, sf_dir)
+    spliced = fingerprints.splice_next(content).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    coded = fingerprints.fingerprint_columns(spliced, fingerprints.lexicon(content), "summary", "edited")
+    following = coded.select(F.col("content_id").alias("next_id"), F.col("summary").alias("following"))
+    return coded.join(following, "next_id").select(
+        F.col("content_id").alias("doc_id"), "n_chars", "edited_sha256",
+        fingerprints.as_text(F.col("summary")).alias("fingerprint"), fingerprints.as_text(F.col("edited")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("summary"), F.col("edited")).alias("near_edited"),
+        fingerprints.likeness(F.col("summary"), F.col("following")).alias("near_next"),
+    )
