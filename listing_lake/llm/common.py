@@ -47,6 +47,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(value: Column) -> Column:
+    """The value as it is, in a form that filters are not pushed through: else a filter on it would compute it anew, once per use."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def pack(content: DataFrame, *added: str) -> tuple[DataFrame, list[Column]]:
     """Id, text and the remaining columns as one struct `others`, and the columns that unpack it again.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from listing_lake.llm.common import count_of, pack, words
+from listing_lake.llm.common import count_of, pack, settled, words
 
 DIGITS, MARKS, SYMBOLS = "0123456789", ".,!?;:'\"()-", "#*$%&|<>_=+@^~\\/{}[]"
 
@@ -36,22 +36,23 @@ STATISTICS = {
 
 def _counts(packed: DataFrame) -> DataFrame:
     value = F.col("summary")
+    lines = F.filter(F.split(value, "\n"), lambda line: F.length(F.trim(line)) > 0)
+    counts = {
+        "n_words": F.size("words"),
+        "word_chars": F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)),
+        "n_symbols": count_of(value, SYMBOLS),
+        "n_letters": F.length(F.regexp_replace(value, r"\P{L}+", "")),
+        "n_upper": F.length(F.regexp_replace(value, r"\P{Lu}+", "")),
+        "n_digits": count_of(value, DIGITS),
+        "n_marks": count_of(value, MARKS),
+        "n_echo": F.size(F.filter("words", lambda w, i: F.coalesce(w == F.get(F.col("words"), i - 1), F.lit(False)))),
+        "n_distinct": F.size(F.array_distinct("words")),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+    }
     return (
-        packed.withColumn("words", words(value)).withColumn("lines", F.filter(F.split(value, "\n"), lambda line: F.length(F.trim(line)) > 0))
-        .select(
-            *packed.columns,
-            F.size("words").alias("n_words"),
-            F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)).alias("word_chars"),
-            count_of(value, SYMBOLS).alias("n_symbols"),
-            F.length(F.regexp_replace(value, r"\P{L}+", "")).alias("n_letters"),
-            F.length(F.regexp_replace(value, r"\P{Lu}+", "")).alias("n_upper"),
-            count_of(value, DIGITS).alias("n_digits"),
-            count_of(value, MARKS).alias("n_marks"),
-            F.size(F.filter("words", lambda w, i: F.coalesce(w == F.get(F.col("words"), i - 1), F.lit(False)))).alias("n_echo"),
-            F.size(F.array_distinct("words")).alias("n_distinct"),
-            F.size("lines").alias("n_lines"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        )
+        packed.withColumn("words", settled(words(value))).withColumn("lines", settled(lines))
+        .select(*packed.columns, *[settled(v).alias(name) for name, v in counts.items()])
     )
 
 
@@ -62,7 +63,7 @@ def text_statistics(content: DataFrame) -> DataFrame:
     """
     packed, others = pack(content, "statistics")
     values = [f(F.col).cast("double") for f in STATISTICS.values()]
-    return _counts(packed).select("content_id", "summary", *others, F.array(*values).alias("statistics"))
+    return _counts(packed).select("content_id", "summary", *others, settled(F.array(*values)).alias("statistics"))
 
 
 @dataclass(frozen=True)
@@ -133,4 +134,5 @@ def score_quality(statistics: DataFrame, model: Discriminant) -> DataFrame:
         odds = model.log_odds(np.stack(values.to_numpy()))
         return pd.Series(1.0 / (1.0 + np.exp(-np.clip(odds, -500, 500))))
 
-    return statistics.withColumn("quality_score", score("statistics"))
+    # As nondeterministic, the score is not computed again for a filter on it.
+    return statistics.withColumn("quality_score", score.asNondeterministic()("statistics"))

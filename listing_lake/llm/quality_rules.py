@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listing_lake.llm.common import count_of, let, pack, words
+from listing_lake.llm.common import count_of, let, pack, settled, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -38,24 +38,25 @@ def measure(content: DataFrame) -> DataFrame:
     """Adds the `MEASURES` to packed rows (`content_id`, `summary`, `others`); every text is scanned whole and once."""
     value = F.col("summary")
     lines = F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    keys = F.when(F.size("words") >= WINDOW, F.transform(
+        F.sequence(F.lit(0), F.size("words") - WINDOW),
+        lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    measures = {
+        "n_words": F.size("words"),
+        "word_chars": F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)),
+        "n_symbols": count_of(value, SYMBOLS),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.when(F.size(F.array_distinct("keys")) == F.size("keys"), 0).otherwise(_covered(F.col("keys"))),
+        "n_letters": F.length(F.regexp_replace(value, r"\P{L}+", "")),
+        "n_upper": F.length(F.regexp_replace(value, r"\P{Lu}+", "")),
+        "n_echo_words": F.size(F.filter("hashes", lambda h, i: F.coalesce(h == F.get(F.col("hashes"), i - 1), F.lit(False)))),
+    }
+    # Settled one by one: filters on a ledger would otherwise have the optimiser carry all these expressions as constraints.
     return (
-        content.withColumn("words", words(value)).withColumn("lines", lines)
-        .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-        .withColumn("keys", F.when(F.size("words") >= WINDOW, F.transform(
-            F.sequence(F.lit(0), F.size("words") - WINDOW),
-            lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
-        .select(
-            *content.columns,
-            F.size("words").cast("long").alias("n_words"),
-            F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)).alias("word_chars"),
-            count_of(value, SYMBOLS).alias("n_symbols"),
-            F.size("lines").cast("long").alias("n_lines"),
-            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-            F.when(F.size(F.array_distinct("keys")) == F.size("keys"), 0).otherwise(_covered(F.col("keys"))).cast("long").alias("n_repeat_words"),
-            F.length(F.regexp_replace(value, r"\P{L}+", "")).cast("long").alias("n_letters"),
-            F.length(F.regexp_replace(value, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-            F.size(F.filter("hashes", lambda h, i: F.coalesce(h == F.get(F.col("hashes"), i - 1), F.lit(False)))).cast("long").alias("n_echo_words"),
-        )
+        content.withColumn("words", settled(words(value))).withColumn("lines", settled(lines))
+        .withColumn("hashes", settled(F.transform("words", lambda w: F.xxhash64(w)))).withColumn("keys", settled(keys))
+        .select(*content.columns, *[settled(measures[name].cast("long")).alias(name) for name in MEASURES])
     )
 
 
@@ -105,7 +106,7 @@ def rule_ledger(content: DataFrame, rules=RULES) -> DataFrame:
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return measure(packed).select("content_id", "summary", *others, *MEASURES, failed.alias("failed"))
+    return measure(packed).select("content_id", "summary", *others, *MEASURES, settled(failed).alias("failed"))
 
 
 def passes(names, rules=RULES) -> Column:
