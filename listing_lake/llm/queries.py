@@ -8,7 +8,7 @@ import uuid
 
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, fingerprints, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from listing_lake.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content
 from listing_lake.session import configure, shared_dir
 
@@ -197,3 +197,12 @@ def op7_lexicon_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("summary"), F.col("edited")).alias("near_edited"),
         fingerprints.likeness(F.col("summary"), F.col("following")).alias("near_next"),
     )
+
+
+@query("op5_attention_scores")
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learnt outside the held-out fold."""
+    scored = lm_scoring.score_content(
+        _content(spark, sf_dir), residue("content_id", 7) != 2, public_tokenizers.path("byte_bpe_50k.json"))
+    return scored.select(
+        F.col("content_id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
