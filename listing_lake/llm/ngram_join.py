@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from listing_lake.llm.common import text
+from listing_lake.llm.common import settled, text
 from listing_lake.llm.components import connected_components
 from listing_lake.session import materialize
 
@@ -127,53 +127,56 @@ def _alike_in_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _similar(pairs: DataFrame, filters: DataFrame, classes: DataFrame, content: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (`a`, `b`) whose sets are similar: the other orders' prefixes must meet as well, then whole sets are compared."""
-    narrow = ["node", *[f"prefix_{k}" for k in range(1, ORDERS)]]
-    both = (
-        pairs.join(filters.select(*[F.col(c).alias(c.replace("node", "a")) for c in narrow]), "a")
-        .join(filters.select(F.col("node").alias("b"), *[F.col(f"prefix_{k}").alias(f"other_{k}") for k in range(1, ORDERS)]), "b")
-    )
-    for k in range(1, ORDERS):
-        both = both.where(F.arrays_overlap(f"prefix_{k}", f"other_{k}"))
-    left = materialize(both.select("a", "b"), "pairs")
-    wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    texts = materialize(
-        content.join(wanted.join(classes, "node").select("node", F.col("first_id").alias("content_id")), "content_id").select("node", "summary"),
-        "texts",
-    )
-    # Rows of one id may hold several texts: the set's hash tells which one is meant.
-    facing = left.join(texts.select(F.col("node").alias("a"), F.col("summary").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("summary").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _whole_sets(nodes: DataFrame, classes: DataFrame, content: DataFrame, width: int) -> DataFrame:
+    """(`node`, `tokens`): the whole sets of the given nodes, made from one text of each."""
+    schema = "node long, tokens array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(shingle_sets(batch.column(2), width), shingle_sets(batch.column(3), width))):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common) and _set_hash(x) == a[i] and _set_hash(y) == b[i]:
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+            sets, nodes = shingle_sets(batch.column(1), width), batch.column(0).to_pylist()
+            # Rows of one id may hold several texts: the set's hash tells which one is meant.
+            keep = [(n, s.view(np.int64)) for n, s in zip(nodes, sets) if _set_hash(s) == n]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.list_(pa.int64()))], names=["node", "tokens"])
+
+    named = nodes.join(classes, "node").select("node", F.col("first_id").alias("content_id"))
+    texts = content.join(named, "content_id").select("node", "summary")
+    return materialize(texts.mapInArrow(run, schema), "sets")
 
-    return facing.mapInArrow(run, "a long, b long")
+
+def _similar(pairs: DataFrame, filters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (`a`, `b`) whose sets are similar: the other orders' prefixes must meet as well, then whole sets are compared."""
+    prefixes = [f"prefix_{k}" for k in range(1, ORDERS)]
+    both = (
+        pairs.join(filters.select(F.col("node").alias("a"), *prefixes), "a")
+        .join(filters.select(F.col("node").alias("b"), *[F.col(p).alias(f"other_{p}") for p in prefixes]), "b")
+    )
+    for p in prefixes:
+        both = both.where(F.arrays_overlap(p, f"other_{p}"))
+    left = materialize(both.select("a", "b"), "pairs")
+    facing = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    # Distinct: a set stands twice where an id repeats with the same text.
+    return facing.select("a", "b", (F.size("of_a") + F.size("of_b")).alias("both"), settled(common).alias("common")).where(
+        100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).select("a", "b").distinct()
 
 
-def _links(filters: DataFrame, classes: DataFrame, content: DataFrame, width: int, percent: int, spare: int = 4) -> DataFrame:
+def _links(filters: DataFrame, classes: DataFrame, content: DataFrame, width: int, percent: int, spare: int = 4, turns: int = 2) -> DataFrame:
     """Enough links between different sets to join every two similar sets, directly or by way of others.
 
     Sets that share a first-order prefix token form a bucket. First every set of a bucket is compared with one central set; this joins
     groups of near copies without comparing all their pairs. Then all pairs of a bucket that are still in different components are
-    compared, so that no similar pair stays apart. While those pairs would outnumber the postings by more than `spare`, another
-    central set is tried first.
+    compared, so that no similar pair stays apart. If those pairs would outnumber the postings by more than `spare`, other central
+    sets are tried first, in `turns` turns altogether.
     """
     spark = filters.sparkSession
     buckets = filters.select("node", "n_shingles", "rank", F.explode("prefix_0").alias("token"))
     shared = buckets.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     buckets = materialize(buckets.join(shared, "token"), "buckets")
+    sets = _whole_sets(buckets.select("node").distinct(), classes, content, width)
     links, tried = [], []
     components = spark.createDataFrame([], "node long, component long")
-    for turn in range(8):
+    for turn in range(turns + 1):
         known = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         known = materialize(known.join(split, "token"), "buckets")
@@ -184,7 +187,7 @@ def _links(filters: DataFrame, classes: DataFrame, content: DataFrame, width: in
         if not open_pairs:
             break
         one = known.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), "token")
-        last = turn == 7 or turn > 0 and open_pairs <= spare * rows
+        last = turn == turns or turn > 0 and open_pairs <= spare * rows
         if last:
             other = known.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), "token")
             candidates = one.join(other, "token").where("a < b and c_a <> c_b")
@@ -199,7 +202,7 @@ def _links(filters: DataFrame, classes: DataFrame, content: DataFrame, width: in
             candidates = candidates.join(before, ["a", "b"], "left_anti")
         candidates = materialize(candidates, "candidates")
         tried.append(candidates)
-        links.append(materialize(_similar(candidates, filters, classes, content, width, percent), "similar"))
+        links.append(materialize(_similar(candidates, filters, sets, percent), "similar"))
         if last:
             break
         components = materialize(connected_components(_all(links)), "components")
