@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listing_lake.llm.common import count_of, let, pack, settled, words
+from listing_lake.llm.common import BLANKS, count_of, let, pack, settled, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -43,7 +43,7 @@ def measure(content: DataFrame) -> DataFrame:
         lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
     measures = {
         "n_words": F.size("words"),
-        "word_chars": F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)),
+        "word_chars": F.length(value) - count_of(value, BLANKS),
         "n_symbols": count_of(value, SYMBOLS),
         "n_lines": F.size("lines"),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
