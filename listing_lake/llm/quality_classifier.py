@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from listing_lake.llm.common import count_of, pack, settled, words
+from listing_lake.llm.common import BLANKS, count_of, pack, settled, words
 
 DIGITS, MARKS, SYMBOLS = "0123456789", ".,!?;:'\"()-", "#*$%&|<>_=+@^~\\/{}[]"
 
@@ -39,7 +39,7 @@ def _counts(packed: DataFrame) -> DataFrame:
     lines = F.filter(F.split(value, "\n"), lambda line: F.length(F.trim(line)) > 0)
     counts = {
         "n_words": F.size("words"),
-        "word_chars": F.aggregate("words", F.lit(0).cast("long"), lambda total, w: total + F.length(w)),
+        "word_chars": F.length(value) - count_of(value, BLANKS),
         "n_symbols": count_of(value, SYMBOLS),
         "n_letters": F.length(F.regexp_replace(value, r"\P{L}+", "")),
         "n_upper": F.length(F.regexp_replace(value, r"\P{Lu}+", "")),
@@ -87,7 +87,7 @@ def fit(statistics: DataFrame, labels: DataFrame, shrink: float = 0.1, floor: fl
     """Learns the discriminant from the labelled rows.
 
     `statistics` has `content_id` and `statistics`, `labels` has `content_id` and `quality` (0 or 1; other values and nulls are left
-    out). Sums and products of each class are aggregated on the cluster over all labelled rows; the driver gets two rows of
+    out). Sums and products of each class are aggregated on the cluster over all rows given; the driver gets two rows of
     about d^2/2 numbers. A class covariance becomes (1 - shrink) of its own plus `shrink` of the pooled one, plus `floor` times
     the mean pooled variance on the diagonal. A class without rows takes the pooled values, and no labelled rows give even odds.
     """
@@ -122,6 +122,15 @@ def fit(statistics: DataFrame, labels: DataFrame, shrink: float = 0.1, floor: fl
     return Discriminant(means, np.stack(factors), np.array(offsets))
 
 
+def labelled_sample(content: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
+    """The content rows of at most `most` labelled ids, the first by a hash of the id; enough for the few hundred numbers of the model.
+
+    Only these ids are broadcast, so the bound is also that of the broadcast.
+    """
+    chosen = labels.where(F.col("quality").isin(0, 1)).select("content_id").distinct().orderBy(F.xxhash64("content_id"), "content_id").limit(most)
+    return content.join(F.broadcast(chosen), "content_id", "left_semi")
+
+
 def score_quality(statistics: DataFrame, model: Discriminant) -> DataFrame:
     """Adds `quality_score`, 0 to 1, higher where label 1 is likelier; a score of 0.5 means even odds. The model is some hundred numbers.
 

@@ -138,9 +138,10 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quadratic_discriminant")
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from the labelled rows outside the held-out fold."""
-    statistics = quality_classifier.text_statistics(_content(spark, sf_dir)).select("content_id", "statistics")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_id"), "quality")
-    model = quality_classifier.fit(statistics, labels.where(residue("content_id", 5) != 0))
+    content = _content(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_id"), "quality").where(residue("content_id", 5) != 0)
+    model = quality_classifier.fit(quality_classifier.text_statistics(quality_classifier.labelled_sample(content, labels)), labels)
+    statistics = quality_classifier.text_statistics(content).select("content_id", "statistics")
     return quality_classifier.score_quality(statistics, model).select(
         F.col("content_id").alias("doc_id"), (residue("content_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
