@@ -26,10 +26,10 @@ def _documents(content: DataFrame, docs: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score `LEAST_SCORE` or more; learnt from the labelled documents outside the held-out fold."""
-    statistics = quality_classifier.text_statistics(_content(docs))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_id"), "quality")
-    model = quality_classifier.fit(statistics, labels.where(residue("content_id", 5) != 0))
-    scored = quality_classifier.score_quality(statistics, model)
+    content = _content(docs)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("content_id"), "quality").where(residue("content_id", 5) != 0)
+    model = quality_classifier.fit(quality_classifier.text_statistics(quality_classifier.labelled_sample(content, labels)), labels)
+    scored = quality_classifier.score_quality(quality_classifier.text_statistics(content), model)
     return _documents(scored.where(F.col("quality_score") >= LEAST_SCORE), docs)
 
 
