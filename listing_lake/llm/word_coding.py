@@ -61,3 +61,26 @@ class WordCoder:
         names, codes, starts = split_words(texts)
         ids, begins = gather(self.pieces(names), codes, self.dtype)
         return ids, begins[starts]
+
+
+_CODERS: dict = {}
+
+
+def tokenizer_coder(path: str, before: str = "", ordinary: bool = False) -> tuple[WordCoder, int]:
+    """A coder of a tokenizer file and the size of its vocabulary; a reused Python worker keeps the words it has seen.
+
+    `before` is put in front of each word; `ordinary` treats the strings of special tokens as plain text.
+    """
+    if (path, before, ordinary) not in _CODERS:
+        import os
+
+        # Workers share the cores among themselves.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = ordinary
+        coder = WordCoder(
+            lambda words: [e.ids for e in model.encode_batch_fast([before + w for w in words], add_special_tokens=False)], entries=700_000)
+        _CODERS[path, before, ordinary] = coder, model.get_vocab_size()
+    return _CODERS[path, before, ordinary]
