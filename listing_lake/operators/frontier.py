@@ -115,9 +115,10 @@ def fetch_queue(
     due = needs_detail(detail_modes(listed), content, now, force=force).filter("needs_detail").select(
         "source", F.lit("detail").alias("kind"), "page_no", "pos", "url", "respect_robots")
     queue = robots_filter(pages.unionByName(due), rules, status)
-    denied_first = (
-        queue.filter("kind = 'list' and page_no = 1 and not robots_allowed").select("source").distinct())
+    # A source is read up to its first denied listing page; without a first page it has no details either.
+    stops = queue.filter("kind = 'list' and not robots_allowed").groupBy("source").agg(F.min("page_no").alias("stop"))
     return (
-        queue.filter("robots_allowed").join(denied_first, "source", "left_anti")
+        queue.filter("robots_allowed").join(stops, "source", "left")
+        .filter("stop is null or stop > 1 and (kind = 'detail' or page_no < stop)")
         .select("source", "kind", "page_no", "pos", "url")
     )
