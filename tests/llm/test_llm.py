@@ -149,15 +149,17 @@ def test_scores_match_counts_and_are_probabilities(spark, content, empty):
 def test_model_is_a_distribution_and_causal(spark, content):
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     counts = lm_scoring.word_counts(content.select("summary").where("summary is not null"))
-    _, size, end = lm_scoring._encoder(vocabulary)
-    model = lm_scoring._count_model(lm_scoring._pairs(counts, vocabulary), size, end)
+    ids, size, _ = lm_scoring._encoder(vocabulary)
+    model = lm_scoring._count_model(lm_scoring._pairs(counts, vocabulary), lm_scoring._prefixes(counts, vocabulary), vocabulary)
     model.p["out"] += np.random.default_rng(1).standard_normal(model.p["out"].shape).astype(np.float32)
-    prefix = np.arange(40) % 30 + 300
-    ids = np.concatenate([np.append(prefix, x) for x in range(size)])
-    starts = np.arange(size + 1) * 41
-    scores = model.score(ids, starts).reshape(size, 41)
-    assert abs(np.exp(scores[:, -1]).sum() - 1) < 1e-3
-    assert np.allclose(scores[:, :-1], scores[0, :-1], atol=1e-4)
+    word = np.frombuffer(ids.coder.pieces(["preorders"])[0], np.uint16)
+    # After ids of no known word, inside a word and at its end.
+    for tail in ([], word[:1], word):
+        prefix = np.append(np.arange(40) % 30 + 300, tail).astype(np.int64)
+        width = len(prefix) + 1
+        scores = model.score(np.concatenate([np.append(prefix, x) for x in range(size)]), np.arange(size + 1) * width).reshape(size, width)
+        assert abs(np.exp(scores[:, -1]).sum() - 1) < 1e-3
+        assert np.allclose(scores[:, :-1], scores[0, :-1], atol=1e-4)
 
 
 def shingles(value):
