@@ -57,7 +57,7 @@ def read_details(pages: DataFrame, now: datetime | Column, base: str = "url") ->
     deny = src["image_deny_patterns"]
     text_root = F.try_element_at(N.select_all(nodes, src["product_text_sel"]), F.lit(1))
     part = F.when(src["product_text_sel"].isNull(), nodes).otherwise(
-        let(text_root, lambda t: F.when(t.isNotNull(), N.subtree(nodes, t))))
+        let(text_root, lambda t: F.when(t.isNotNull(), N.below(nodes, t))))  # a hidden class of the panel itself hides nothing
     # Rules see the whole page: a root that is the page itself.
     whole = F.struct(
         F.lit(-1).alias("id"), (F.size(nodes) - 1).alias("last"), F.lit("").alias("path"),

@@ -108,7 +108,9 @@ def with_links(pages: DataFrame) -> DataFrame:
         lambda n: F.struct(n["id"].alias("id"), F.split_part(n["link"], F.lit("#"), F.lit(1)).alias("key")),
     )
     wants_card = src["list_image_sel"].isNotNull() | flag(src["list_product_mode"])
-    found = pages.withColumn("_links", F.when(src["list_item_sel"].isNull(), links))
+    # Rules for details alone list nothing.
+    by_link = src["list_item_sel"].isNull() & ~flag(F.size(src["detail_rules"]) > 0)
+    found = pages.withColumn("_links", F.when(by_link, links))
     keyed = F.transform(
         F.col("_links"),
         lambda k: F.struct(

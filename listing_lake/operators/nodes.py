@@ -26,7 +26,9 @@ _PIECE = re.compile(
     r"""|\[(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^*$~]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]]*)))?\s*\]"""
     r"""|:(?P<fn>not|has|-soup-contains)\(|(?P<scope>:scope)"""
 )
-_STEP = "(?:<[^>]*>)*"
+# Any steps in between: a step ends by ">" and the next begins by "<", and values hold neither. A run of single characters is
+# matched in a loop, however deep the page is nested.
+_STEP = "(?s:.*)"
 
 
 def _escape(value: str) -> str:
@@ -58,6 +60,8 @@ def _attr_test(name: str, op: str | None, value: str) -> str:
     if name == "class" and op in ("=", "~="):
         inner = f"{_escape(value)} " if op == "=" else f'[^"]*{" " + _escape(value)} '
         return f' class="{" " + inner if op == "=" else inner}'
+    if name == "class" and op in ("^=", "$="):  # stored with a blank on either side
+        return f' class=" {_escape(value)}' if op == "^=" else f' class="[^"]*{_escape(value)} "'
     tests = {None: "", "=": _escape(value) + '"', "^=": _escape(value), "*=": '[^"]*' + _escape(value),
              "$=": '[^"]*' + _escape(value) + '"', "~=": '(?:[^"]* )?' + _escape(value) + '[ "]'}
     return f' {_escape(name)}="' + tests[op]
@@ -82,7 +86,7 @@ def _compound(text: str, extra: dict) -> str:
             elif m["fn"] == "not":
                 extra["outside"].append(_chain(argument, extra) + "$")
             elif m["fn"] == "has":
-                extra["inside"].append(_chain(argument, extra) + "$")
+                extra["inside"].append(("^" if argument.startswith(">") else "") + _chain(argument, extra) + "$")
             else:
                 extra["words"].append(argument.strip("\"'"))
         elif m["tag"]:
@@ -100,13 +104,16 @@ def _compound(text: str, extra: dict) -> str:
 def _chain(text: str, extra: dict) -> str:
     pieces = [p for p in _split_top(re.sub(r"\s*>\s*", " > ", text.strip()), r"\s") if p]
     out, child = "", True
-    for piece in pieces:
+    for nth, piece in enumerate(pieces):
         if piece == ">":
             child = True
             continue
         if piece in ("+", "~"):
             raise ValueError(f"unsupported selector: {text}")
-        out += ("" if child else _STEP) + _compound(piece, extra)
+        own = extra if nth == len(pieces) - 1 else {"inside": [], "outside": [], "words": []}
+        out += ("" if child else _STEP) + _compound(piece, own)
+        if own is not extra and any(own.values()):
+            raise ValueError(f"test of an ancestor's content is not supported: {text}")
         child = False
     return out
 

@@ -192,7 +192,7 @@ def purge_untitled(content: DataFrame, dry_run: bool = False) -> tuple[DataFrame
 
 # --- snapshots ----------------------------------------------------------------------------------
 def snapshot_log(spark: SparkSession, root: str) -> DataFrame:
-    schema = "version bigint, path string, batch_id bigint"
+    schema = "version bigint, path string, batch_id bigint, stream string"
     try:
         return spark.read.schema(schema).parquet(f"{root}/_log")
     except Exception as error:  # no snapshot yet
@@ -215,13 +215,16 @@ def read_content(spark: SparkSession, root: str, category: str | None = None) ->
     return df.filter(F.col("storage_category") == category) if category else df
 
 
-def write_snapshot(content: DataFrame, root: str, batch_id: int | None = None) -> str:
-    """Write a whole new snapshot beside the current one, then log it; readers switch with the log row."""
+def write_snapshot(content: DataFrame, root: str, batch_id: int | None = None, stream: str | None = None) -> str:
+    """Write a whole new snapshot beside the current one, then log it; readers switch with the log row.
+
+    `batch_id` and `stream` name the micro-batch it comes from.
+    """
     spark = content.sparkSession
     version, _ = latest_version(spark, root)
     path = f"{root}/v{version + 1:06d}"
     content.write.mode("overwrite").partitionBy("storage_category").parquet(path)
-    entry = spark.createDataFrame([(version + 1, path, batch_id)], "version bigint, path string, batch_id bigint")
+    entry = spark.createDataFrame([(version + 1, path, batch_id, stream)], "version bigint, path string, batch_id bigint, stream string")
     entry.coalesce(1).write.mode("append").parquet(f"{root}/_log")
     return path
 

@@ -42,14 +42,18 @@ def upsert_stream(
 ) -> None:
     """Merge every micro-batch into the content table under `root`.
 
-    A batch that was already logged is skipped, so a restart after a lost driver does not merge it twice.
+    A batch that this stream already logged is skipped, so a restart after a lost driver does not merge it twice. Streams are told
+    apart by the id that Spark keeps in their checkpoint: several may write to one root, one after the other, and a new checkpoint is a
+    new stream, whose rows are merged again, changing nothing where they are stored already.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if store.snapshot_log(spark, root).filter(F.col("batch_id") == batch_id).limit(1).count():
+        stream = spark.read.text(f"{checkpoint}/metadata").agg(F.max(F.get_json_object("value", "$.id"))).first()[0]
+        mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+        if not store.snapshot_log(spark, root).filter(mine).isEmpty():
             return
         merged, _ = store.merge_content(store.read_content(spark, root), batch, now(), seq)
-        store.write_snapshot(merged, root, batch_id)
+        store.write_snapshot(merged, root, batch_id, stream)
 
     run_available(candidates, checkpoint, lambda writer: writer.foreachBatch(merge).start())
 

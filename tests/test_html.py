@@ -1,3 +1,4 @@
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -266,3 +267,15 @@ def test_rendered_cards(spark):
     (row,) = intake.rendered_cards(dims.with_source(df, table), NOW).collect()
     assert (row.url, row.title, row.price, row.saleStatus, row.imageUrl) == (
         "https://shop.example.com/products/1", "피규어 상품 이름", 12000, "PREORDER", "https://shop.example.com/ok.jpg")
+
+
+def test_selector_paths():
+    hit = lambda css, path, part="path": bool(re.search(
+        N.selector(css)[0]["path"] if part == "path" else N.selector(css)[0][part][0], path))
+    card = '<div><p class=" card wide ">'
+    assert hit('[class^="car"]', card) and hit('[class$="ide"]', card) and hit("div p", card) and hit("div > p", card)
+    assert not hit('[class^="wide"]', card) and not hit('[class$="card"]', card) and not hit("p > p", card)
+    assert hit("div p", "<div>" + "<b>" * 50_000 + "<p>") and not hit("div p", "<div>" + "<b>" * 50_000)
+    assert hit("li:has(> p)", "<p>", "inside") and not hit("li:has(> p)", "<b><p>", "inside") and hit("li:has(p)", "<b><p>", "inside")
+    with pytest.raises(ValueError):
+        N.selector("ul:has(b) > li")

@@ -73,16 +73,25 @@ def test_upsert_stream_is_idempotent(spark, tmp_path):
     schema = "seq int, url string, title string, price bigint, category string"
     inbox, root = str(tmp_path / "in"), str(tmp_path / "content")
     write_batches(spark, inbox, schema, [(1, "https://e.example/a", "t", 10, "GOODS"), (2, "https://e.example/b", "t", 20, "GOODS")])
-    run = lambda checkpoint: streams.upsert_stream(
-        streams.read_stream(spark, inbox, schema), root, str(tmp_path / checkpoint), lambda: NOW, ["seq"])
+    run = lambda checkpoint, folder=inbox: streams.upsert_stream(
+        streams.read_stream(spark, folder, schema), root, str(tmp_path / checkpoint), lambda: NOW, ["seq"])
     run("c1")
     write_batches(spark, inbox, schema, [(3, "https://e.example/a?utm_id=1", "new", 30, "ANIME")])
     run("c1")
-    rows = {r.url: (r.title, r.price) for r in store.read_content(spark, root).collect()}
-    assert rows == {"https://e.example/a": ("t", 30), "https://e.example/b": ("t", 20)}
+    stored = lambda: {r.url: (r.title, r.price) for r in store.read_content(spark, root).collect()}
+    rows = {"https://e.example/a": ("t", 30), "https://e.example/b": ("t", 20)}
+    assert stored() == rows and store.snapshot_log(spark, root).count() == 2
+    run("c2")  # a lost checkpoint reads the files anew: stored rows stay as they are
+    assert stored() == rows
+    other = str(tmp_path / "other")
+    write_batches(spark, other, schema, [(1, "https://e.example/c", "u", 40, "GOODS")])
+    run("c3", other)  # the first batch of another stream is no replay
+    assert stored() == rows | {"https://e.example/c": ("u", 40)}
+    for name in ("0", ".0.crc"):  # lost between merge and commit
+        (tmp_path / "c3" / "commits" / name).unlink()
     versions = store.snapshot_log(spark, root).count()
-    run("c2")  # a lost checkpoint replays batch 0, which the log already holds
-    assert store.snapshot_log(spark, root).count() == versions == 2
+    run("c3", other)
+    assert store.snapshot_log(spark, root).count() == versions
 
 
 def test_event_time_streams(spark, tmp_path):
