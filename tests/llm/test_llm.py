@@ -162,6 +162,13 @@ def test_model_is_a_distribution_and_causal(spark, content):
         assert np.allclose(scores[:, :-1], scores[0, :-1], atol=1e-4)
 
 
+def test_attention_keeps_its_classes_and_rounds():
+    import inspect
+
+    assert lm_scoring.Attention.start(9)["out"].shape == (lm_scoring.WIDTH, 512)
+    assert inspect.signature(lm_scoring.score_content).parameters["rounds"].default == 3
+
+
 def shingles(value):
     words = words_of(lowered(value))
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
