@@ -169,6 +169,20 @@ def test_attention_keeps_its_classes_and_rounds():
     assert inspect.signature(lm_scoring.score_content).parameters["rounds"].default == 3
 
 
+@pytest.mark.parametrize("parts", [{}, {"share": 3}])
+def test_every_round_trains_on_every_learnable_row(spark, monkeypatch, parts):
+    many = spark.range(60, numPartitions=4).select(F.col("id").alias("content_id"), F.repeat(F.lit("an order opens today "), 5_100).alias("summary"))
+    seen = collections.Counter()
+
+    def noted(content, model, parameters, vocabulary):
+        seen.update(r.content_id for r in content.select("content_id").collect())
+        return parameters
+
+    monkeypatch.setattr(lm_scoring, "_train_round", noted)
+    lm_scoring.score_content(many, F.col("content_id") % 3 != 2, public_tokenizers.path("byte_bpe_50k.json"), **parts)
+    assert seen == {i: 3 for i in range(60) if i % 3 != 2}
+
+
 def shingles(value):
     words = words_of(lowered(value))
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
