@@ -11,6 +11,8 @@ from listing_lake.session import materialize
 # texts, large ones say something about short texts.
 DIVISIONS = ((128, 0), (32, 7))
 EMPTY = -1
+# In every place of a text without any term.
+NO_TERMS = 42
 # A lexicon of more terms is joined by a shuffle in place of a broadcast.
 BROADCAST_TERMS = 2_000_000
 # Stands in every row's terms and in the lexicon, so that rows without a term of the band stay.
@@ -24,23 +26,26 @@ def term_hashes(value: Column) -> Column:
 
 
 def lexicon(content: DataFrame, least_share: float = 0.0005, most_share: float = 0.05) -> DataFrame:
-    """Terms (`term`, their hash) that between `least_share` and `most_share` of all content rows hold, and at least two do.
+    """Terms (`term`, their hash) that between `least_share` and `most_share` of all distinct texts hold, and at least two do.
 
     These are the terms of an inverse document frequency between log(1 / most_share) and log(1 / least_share). Counts are taken over
-    all rows. The lexicon has at most (mean number of distinct terms of a row) / least_share terms, however many rows there are.
-    An empty table has an empty lexicon.
+    all rows, a text that repeats counting once. The lexicon has at most (mean number of distinct terms of a text) / least_share
+    terms, however many rows there are. An empty table has an empty lexicon.
     """
-    rows = content.select(text().alias("summary"))
-    total = rows.count()
-    counted = rows.select(F.explode(term_hashes(F.col("summary"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counted.where((F.col("df") >= max(2.0, least_share * total)) & (F.col("df") <= max(2.0, most_share * total))).select("term")
+    texts = content.select(text().alias("summary")).distinct()
+    terms = F.concat(F.array(F.lit(_ANCHOR)), term_hashes(F.col("summary")))
+    counted = materialize(texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "terms")
+    # The anchor stands once in every text.
+    total = (counted.where(F.col("term") == _ANCHOR).first() or {"df": 0})["df"]
+    return counted.where((F.col("term") != _ANCHOR) & (F.col("df") >= max(2.0, least_share * total)) & (F.col("df") <= max(2.0, most_share * total))).select("term")
 
 
-def _codes(terms: Column, parts: int, shift: int) -> Column:
-    """A 16-bit hash of the sorted terms of each part, `EMPTY` for a part without terms."""
+def _codes(terms: Column, others: Column, parts: int, shift: int) -> Column:
+    """A 16-bit hash of the sorted terms of each part, of the others where it has none, `EMPTY` for a part without either."""
     code = lambda h: h.bitwiseAND(F.lit(0xFFFF)).cast("int")
-    keyed = F.array_sort(F.transform(terms, lambda t: F.struct(F.pmod(F.shiftright(t, shift), F.lit(parts)).alias("part"), t.alias("term"))))
-    start = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<int>").alias("done"))
+    place = lambda out: lambda t: F.struct(F.pmod(F.shiftright(t, shift), F.lit(parts)).alias("part"), F.lit(out).alias("out"), t.alias("term"))
+    keyed = F.array_sort(F.concat(F.transform(terms, place(0)), F.transform(others, place(1))))
+    start = F.struct(F.lit(-1).alias("part"), F.lit(0).alias("out"), F.lit(0).cast("long").alias("hash"), F.array().cast("array<int>").alias("done"))
 
     def closed(state: Column, to: Column) -> Column:
         """The codes up to, but not including, part `to`."""
@@ -50,19 +55,23 @@ def _codes(terms: Column, parts: int, shift: int) -> Column:
 
     def step(state: Column, x: Column) -> Column:
         same = x["part"] == state["part"]
-        return F.struct(
-            x["part"].alias("part"),
+        opened = F.struct(
+            x["part"].alias("part"), F.when(same, state["out"]).otherwise(x["out"]).alias("out"),
             F.xxhash64(F.when(same, state["hash"]).otherwise(F.lit(0).cast("long")), x["term"]).alias("hash"),
             F.when(same, state["done"]).otherwise(closed(state, x["part"])).alias("done"))
+        return F.when(same & (x["out"] != state["out"]), state).otherwise(opened)
 
     return F.aggregate(keyed, start, step, lambda state: closed(state, F.lit(parts)))
 
 
-def _fingerprint(terms: Column, whole: Column) -> Column:
-    """Codes of all subsets; a row without any term of the band has the hash of all its terms in every place."""
-    codes = F.concat(*[_codes(terms, parts, shift) for parts, shift in DIVISIONS])
+def _fingerprint(terms: Column, own: Column) -> Column:
+    """Codes of all subsets: of the terms of the band, and of the row's other terms in subsets without one of the band.
+
+    So a text without terms of the band has the codes of its own, and an edit that brings in such terms changes their subsets only.
+    """
+    codes = F.concat(*[_codes(terms, F.array_except(own, terms), parts, shift) for parts, shift in DIVISIONS])
     places = sum(parts for parts, _ in DIVISIONS)
-    return F.when(F.size(terms) == 0, F.array_repeat(whole.bitwiseAND(F.lit(0xFFFF)).cast("int"), places)).otherwise(codes)
+    return F.when(F.size(own) == 0, F.array_repeat(F.lit(NO_TERMS), places)).otherwise(codes)
 
 
 def as_text(codes: Column) -> Column:
@@ -82,22 +91,23 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint_columns(rows: DataFrame, lexicon_terms: DataFrame, *names: str) -> DataFrame:
     """Replaces each named text column by its codes (`array<int>`); the other columns stay.
 
-    The terms of a row are exploded, met with the lexicon and gathered again per row, already partly before the shuffle, so that one
-    short array per row travels. A null text is empty; equal texts get equal codes; no rows give no rows.
+    The terms of a row are exploded, met with the lexicon and gathered again per row, already partly before the shuffle, so that its
+    terms travel as two short arrays, all and those of the band. A null text is empty; equal texts get equal codes; no rows give no rows.
     """
     terms = materialize(lexicon_terms, "lexicon")
     terms = terms.unionByName(terms.sparkSession.createDataFrame([(_ANCHOR,)], "term long"))
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     others = [c for c in rows.columns if c not in names]
+    short = lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     hashed = rows.select(
         F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"),
         *[term_hashes(F.coalesce(F.col(n), F.lit(""))).alias(n) for n in names],
-    ).withColumns({f"whole_{n}": F.xxhash64(F.array_sort(n)) for n in names})
+    ).withColumns({f"own_{n}": F.array_distinct(F.transform(n, short)) for n in names})
     tag_as = lambda i: lambda t: F.struct(F.lit(i).alias("tag"), t.alias("term"))
     tagged = F.concat(F.array(F.struct(F.lit(-1).alias("tag"), F.lit(_ANCHOR).alias("term"))), *[
         F.transform(n, tag_as(i)) for i, n in enumerate(names)])
-    kept = ["row", "others", *[f"whole_{n}" for n in names]]
+    kept = ["row", "others", *[f"own_{n}" for n in names]]
     gathered = (
         hashed.select(*kept, F.explode(tagged).alias("x"))
         .select("row", "x.tag", "x.term", F.when(F.col("x.tag") == -1, F.struct(*kept[1:])).alias("head"))
@@ -105,12 +115,12 @@ def fingerprint_columns(rows: DataFrame, lexicon_terms: DataFrame, *names: str)
         .groupBy("row")
         .agg(
             F.first("head", ignorenulls=True).alias("head"),
-            *[F.collect_list(F.when(F.col("tag") == i, F.col("term").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias(n) for i, n in enumerate(names)],
+            *[F.collect_list(F.when(F.col("tag") == i, short(F.col("term")))).alias(n) for i, n in enumerate(names)],
         )
     )
     return gathered.select(
         *[F.col("head.others").getField(c).alias(c) for c in others],
-        *[_fingerprint(F.array_distinct(n), F.col(f"head.whole_{n}")).alias(n) for n in names],
+        *[_fingerprint(F.array_distinct(n), F.col(f"head.own_{n}")).alias(n) for n in names],
     )
 
 

@@ -10,7 +10,7 @@ import public_tokenizers
 
 from listing_lake.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content
-from listing_lake.session import configure, shared_dir
+from listing_lake.session import configure, materialize, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -190,7 +190,7 @@ def op7_lexicon_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are to those of the edit and of the next document."""
     content = _content(spark, sf_dir)
     spliced = fingerprints.splice_next(content).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    coded = fingerprints.fingerprint_columns(spliced, fingerprints.lexicon(content), "summary", "edited")
+    coded = materialize(fingerprints.fingerprint_columns(spliced, fingerprints.lexicon(content), "summary", "edited"), "coded")
     following = coded.select(F.col("content_id").alias("next_id"), F.col("summary").alias("following"))
     return coded.join(following, "next_id").select(
         F.col("content_id").alias("doc_id"), "n_chars", "edited_sha256",

@@ -230,6 +230,25 @@ def test_fingerprints(spark, content, empty):
         assert row.next_id == following and row.edited == texts[row.content_id][:len(texts[row.content_id]) - cut] + texts[following][:cut]
 
 
+def test_fingerprints_of_copies_and_of_texts_without_band_terms(spark):
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in draw.choice(4000, 60, replace=False)) for _ in range(200)]
+    copied = " ".join(f"w{k}" for k in draw.choice(4000, 90, replace=False))
+    apart = [" ".join(f"only{i}x{k}" for k in range(90)) for i in range(4)]
+    data = list(enumerate([*texts, *[copied] * 100, *apart]))
+    draw.shuffle(data)
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "content_id long, summary string")
+    terms = fingerprints.lexicon(frame)
+    counts = collections.Counter(w for t in {t for _, t in data} for w in t.split())
+    assert terms.count() == sum(2 <= n <= 0.05 * len({t for _, t in data}) for n in counts.values())
+    coded = fingerprints.fingerprint_columns(fingerprints.splice_next(frame).withColumn("text", F.col("summary")), terms, "summary", "edited")
+    near = collections.defaultdict(list)
+    for r in coded.select("text", fingerprints.likeness(F.col("summary"), F.col("edited")).alias("near")).collect():
+        near[r.text].append(r.near)
+    assert len(near[copied]) == 100 and all(0.2 < x <= 1 for x in near[copied])
+    assert all(0.2 < near[t][0] < 1 for t in apart)
+
+
 def test_shared_lines(content, empty):
     got = line_dedup.drop_shared_lines(content)
     assert got.columns[-2:] == ["n_lines", "n_dropped"] and "others" in got.columns
