@@ -183,6 +183,26 @@ def test_every_round_trains_on_every_learnable_row(spark, monkeypatch, parts):
     assert seen == {i: 3 for i in range(60) if i % 3 != 2}
 
 
+def test_beginnings_that_tasks_lack_are_joined_to_the_rows(content, monkeypatch):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    def scores():
+        got = lm_scoring.score_content(content, F.col("content_id") % 3 != 2, vocabulary, rounds=0).collect()
+        return sorted((r.content_id or -1, r.n_tokens, r.base_score, r.score) for r in got)
+    want = scores()
+    for most in (0, 40):
+        monkeypatch.setattr(lm_scoring, "PREFIXES", most)
+        assert np.allclose(scores(), want, atol=1e-4, rtol=1e-5)
+
+
+def test_word_beginnings_of_any_depth(spark):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    word = "".join(f"q{i * 7919 % 1009}z" for i in range(50))
+    counts = spark.createDataFrame([(1, 3, word)], "word long, n long, token string")
+    ids, _, _ = lm_scoring._encoder(vocabulary)
+    got = lm_scoring._prefixes(counts, vocabulary).collect()
+    assert len(got) == len(ids.coder.pieces([word])[0]) // 2 > 50 and {r.n for r in got} == {3} and sum(r.ended for r in got) == 3
+
+
 def shingles(value):
     words = words_of(lowered(value))
     return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
