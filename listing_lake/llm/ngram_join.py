@@ -91,9 +91,10 @@ def _token_table(content: DataFrame, width: int, percent: int) -> DataFrame:
 def _filters(tokens: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Per set that may have a partner: its prefixes under `ORDERS` global orders, tokens nobody else has left out.
 
-    All orders put low tokens before the others and low tokens by rising document frequency: the first breaks ties by the token, the
-    others take frequencies by powers of two and break ties by another hash. Tokens of a single row fill up a prefix
-    without being posted, so most sets have an empty rest.
+    All orders put low tokens before the others and both by rising frequency among the rows that post them: the first breaks ties by the
+    token, the others take frequencies by powers of two and break ties by another hash. Tokens of a single row fill up a prefix
+    without being posted, so most sets have an empty rest. A set with fewer low tokens than its prefix has posted all its tokens; those
+    of the others that nobody else has posted come first among them.
     """
     postings = tokens.select("content_id", "set_hash", F.explode("posted").alias("token"))
     frequent = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -106,14 +107,18 @@ def _filters(tokens: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .agg(F.collect_set(F.struct("df", "token")).alias("found"), F.sum("df").alias("weight"))
     )
     need = _prefix_size(F.col("n_shingles"), percent)
-    rest = F.when(F.col("n_low") < need, F.size("found")).otherwise(need - (F.col("n_low") - F.size("found")))
+    high = lambda x: (x["token"] < 0) | (x["token"] >= F.lit(int(LOW_SHARE * 2**64)))
+    n_high = F.size(F.filter("found", high))
+    single_high = F.col("n_shingles") - F.col("n_low") - n_high
+    rest = F.when(F.col("n_low") < need, F.size("found") - n_high + F.greatest(F.lit(0), need - F.col("n_low") - single_high)).otherwise(
+        need - (F.col("n_low") - F.size("found")))
 
     def prefix(k: int) -> Column:
         if k == 0:
-            ordered = F.array_sort("found")
+            ordered = F.array_sort(F.transform("found", lambda x: F.struct(high(x).alias("high"), x["df"].alias("df"), x["token"].alias("token"))))
         else:
             ordered = F.array_sort(F.transform("found", lambda x: F.struct(
-                F.floor(F.log2(x["df"])).alias("rarity"), F.xxhash64(x["token"], F.lit(k)).alias("tie"), x["token"].alias("token"))))
+                high(x).alias("high"), F.floor(F.log2(x["df"])).alias("rarity"), F.xxhash64(x["token"], F.lit(k)).alias("tie"), x["token"].alias("token"))))
         return F.transform(F.slice(ordered, F.lit(1), F.col("rest")), lambda x: x["token"])
 
     return materialize(

@@ -233,6 +233,27 @@ def test_near_duplicates_against_all_pairs(spark, content, empty):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_prefixes_of_sets_with_few_low_tokens(spark):
+    passage = [f"hot{k}" for k in range(14)]
+    data = []
+    for i in range(60):
+        own = [f"own{i // 3}x{k}" for k in range(14)]
+        data.append((i, " ".join(passage + own + [[], ["tail"], [f"tail{i}"]][i % 3])))
+    frame = spark.createDataFrame(data, "content_id long, summary string")
+    tokens = ngram_join._token_table(frame, 5, 80)
+    classes = tokens.groupBy(F.col("set_hash").alias("node"), "n_shingles", "n_low").agg(F.min("content_id").alias("first_id"))
+    filters = ngram_join._filters(tokens, classes, 80).join(classes.select("node", "n_low"), "node").collect()
+    need = lambda r: ngram_join._prefix_size(r.n_shingles, 80)
+    assert any(r.n_low < need(r) for r in filters)
+    assert all(len(p) <= need(r) for r in filters for p in (r.prefix_0, r.prefix_1, r.prefix_2))
+    sets = {i: shingles(t) for i, t in data}
+    group = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            group[a] = min(group[b] for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert {r.content_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()} == group
+
+
 def test_fingerprints(spark, content, empty):
     lexicon = fingerprints.lexicon(content, 0.01, 0.5)
     got = fingerprints.fingerprint_content(content, lexicon).withColumn("same", fingerprints.likeness(F.col("codes"), F.col("codes"))).collect()
