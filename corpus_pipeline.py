@@ -47,10 +47,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group; documents without an id all stay."""
-    groups = ngram_join.near_duplicates(_content(docs))
-    first = groups.where(F.col("content_id") == F.col("component_id")).select(F.col("content_id").alias("doc_id"))
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one row of each near-duplicate group, one with the smallest id; documents without an id or without words all stay."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    # Id and row name a row, so that rows of one id are told apart.
+    rows = keyed.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_row")).alias("content_id"), F.col("text").alias("summary"))
+    groups = ngram_join.near_duplicates(rows)
+    first = groups.where(F.col("content_id") == F.col("component_id")).select(F.col("content_id._row").alias("_row"))
+    return keyed.join(first, "_row", "left_semi").select(docs.columns).unionByName(keyed.where(F.col("doc_id").isNull()).select(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
