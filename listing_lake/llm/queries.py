@@ -8,10 +8,12 @@ import uuid
 
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
-from listing_lake.llm.common import as_content
+from listing_lake.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from listing_lake.llm.common import as_content, settled
 from listing_lake.session import configure, materialize, shared_dir
 
+MERKLE_FIELDS = ("content_id", "source", "sourceLanguage", "n_chars", "summary")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -114,6 +116,65 @@ FROM d
 """
 
 
+def _framed_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_framed_sql(v) for v in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE sums AS (
+  SELECT *, list_reduce(
+    [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+  FROM documents
+),
+leaves AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS presented
+  FROM sums
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+),
+inner_nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM inner_nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n
+),
+subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM inner_nodes WHERE n = 1
+),
+top_nodes AS (
+  SELECT '' AS tree, 0 AS level, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (n + 1) // 2
+  FROM top_nodes WHERE n > 1 GROUP BY tree, level, pos // 2, n
+),
+nodes AS (SELECT * FROM inner_nodes UNION ALL SELECT * FROM top_nodes),
+walk AS (
+  SELECT doc_id, tree, 0 AS level, pos, n, presented AS digest, '' AS siblings FROM placed
+  UNION ALL
+  SELECT w.doc_id, CASE WHEN w.n > 1 THEN w.tree ELSE '' END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END,
+    CASE WHEN w.n > 1 THEN w.pos // 2 ELSE r.pos END, CASE WHEN w.n > 1 THEN (w.n + 1) // 2 ELSE r.n END,
+    CASE WHEN w.n = 1 THEN w.digest WHEN w.pos % 2 = 1 THEN sha256(s.digest || w.digest) ELSE sha256(w.digest || coalesce(s.digest, '')) END,
+    w.siblings || CASE WHEN w.n > 1 THEN coalesce(s.digest, '') ELSE '' END
+  FROM walk w
+  LEFT JOIN nodes s ON w.tree = s.tree AND w.level = s.level AND xor(w.pos, 1) = s.pos
+  LEFT JOIN subroots r ON w.tree = r.tree
+  WHERE w.n > 1 OR w.tree <> ''
+)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, t.digest AS root, sha256(w.siblings) AS proof_sha256, w.digest AS folded_root,
+  w.digest = t.digest AS verified
+FROM placed p JOIN subroots r ON p.tree = r.tree
+JOIN walk w ON p.doc_id = w.doc_id AND w.tree = '' AND w.n = 1
+JOIN top_nodes t ON t.n = 1
+"""
+
+
 @query("op1_feistel_shards")
 def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of equal row counts."""
@@ -207,3 +268,16 @@ def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         _content(spark, sf_dir), residue("content_id", 7) != 2, public_tokenizers.path("byte_bpe_50k.json"))
     return scored.select(
         F.col("content_id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_forward_manifest", MANIFEST_SQL)
+def op11_forward_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of all documents; every seventh by checksum is verified with a changed length."""
+    content = table(spark, sf_dir, "documents").withColumnsRenamed({"doc_id": "content_id", "lang": "sourceLanguage", "text": "summary"})
+    tampered = merkle.field_hash(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in MERKLE_FIELDS])
+    presented = F.when(F.coalesce(residue("content_id", 7) == 0, F.lit(False)), tampered)
+    sealed = merkle.manifest(content.withColumn("presented", presented), MERKLE_FIELDS, "sourceLanguage", keep=("presented",))
+    return sealed.select(
+        F.col("content_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        settled(merkle.fold(F.coalesce("presented", "leaf"), F.col("proof"))).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
