@@ -8,7 +8,7 @@ import uuid
 
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from listing_lake.llm import byte_bpe, collocations, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content, settled
 from listing_lake.session import configure, materialize, shared_dir
 
@@ -174,6 +174,41 @@ JOIN walk w ON p.doc_id = w.doc_id AND w.tree = '' AND w.n = 1
 JOIN top_nodes t ON t.n = 1
 """
 
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+sizes AS (SELECT unnest(range(1, 6)) AS size),
+g AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) AS phrase
+  FROM w, sizes WHERE len(words) >= size
+),
+f AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM g GROUP BY lang, phrase HAVING count(*) >= 100),
+t AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT lang, phrase, a, unnest(range(1, size)) AS k, string_split(phrase, ' ') AS words FROM f WHERE size > 1
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, h.a AS l, r.a AS r, t.n, k, CAST(1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(h.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON c.lang = h.lang AND array_to_string(words[1:k], ' ') = h.phrase
+  JOIN f r ON c.lang = r.lang AND array_to_string(words[k + 1:], ' ') = r.phrase
+  JOIN t ON c.lang = t.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(words[i:j], ' ') AS phrase, max(a) AS cover
+  FROM (SELECT *, unnest(range(i + 1, len(words) + 1)) AS j FROM (
+    SELECT lang, a, words, unnest(range(1, len(words))) AS i FROM (SELECT lang, a, string_split(phrase, ' ') AS words FROM f WHERE size > 2)))
+  WHERE j - i + 1 < len(words) GROUP BY 1, 2
+),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.phrase = i.phrase WHERE i.cover IS NULL OR 100 * i.cover < 100 * b.a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
 
 @query("op1_feistel_shards")
 def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,3 +316,10 @@ def op11_forward_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("content_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
         settled(merkle.fold(F.coalesce("presented", "leaf"), F.col("proof"))).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_collocations", PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language of all documents."""
+    content = table(spark, sf_dir, "documents").select(F.col("text").alias("summary"), F.col("lang").alias("sourceLanguage"))
+    return collocations.mine_phrases(content, min_count=100, longest=5, share=100, top=2000)
