@@ -8,7 +8,7 @@ import uuid
 
 import public_tokenizers
 
-from listing_lake.llm import byte_bpe, collocations, fingerprints, line_dedup, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
+from listing_lake.llm import byte_bpe, collocations, fingerprints, language_id, line_dedup, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, sharding, warc
 from listing_lake.llm.common import as_content, settled
 from listing_lake.session import configure, materialize, shared_dir
 
@@ -323,3 +323,13 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of each language of all documents."""
     content = table(spark, sf_dir, "documents").select(F.col("text").alias("summary"), F.col("lang").alias("sourceLanguage"))
     return collocations.mine_phrases(content, min_count=100, longest=5, share=100, top=2000)
+
+
+@query("op12_ftrl_language")
+def op12_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt outside the held-out fold."""
+    content = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("content_id"), F.col("text").alias("summary"), F.col("lang").alias("sourceLanguage"))
+    model = language_id.fit(content.where(residue("content_id", 3) != 1))
+    return language_id.predict(content.select("content_id", "summary"), model).select(
+        F.col("content_id").alias("doc_id"), (residue("content_id", 3) == 1).alias("held_out"), "lang_pred", "score")
