@@ -1,14 +1,14 @@
-"""The content table: merge, identity reports, edits, purge and snapshots."""
+"""The content table: merge, identity reports, edits and purge. `snapshots` keeps it in files."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions import urls
 from listing_lake.functions.text import present, strip
-from listing_lake.session import materialize, shared_dir
+from listing_lake.session import materialize
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 PRODUCT_FIELDS = (
@@ -91,6 +91,11 @@ def canonical_documents(content: DataFrame, only: DataFrame | None = None) -> Da
     index = index.filter(F.col("url_norm").isNotNull())
     if only is not None:
         index = index.join(only.select("url_norm"), "url_norm", "left_semi")
+    return pick_canonical(index)
+
+
+def pick_canonical(index: DataFrame) -> DataFrame:
+    """The same choice over (content_id, doc_id, url_norm), where the URL is stored."""
     rank = F.struct((F.col("doc_id") != urls.doc_id(F.col("url_norm"))).alias("other"), F.col("doc_id"), F.col("content_id"))
     return index.groupBy("url_norm").agg(F.min(rank).alias("_r")).select("url_norm", F.col("_r.content_id").alias("content_id"))
 
@@ -120,17 +125,23 @@ def merge_content(
     staged = materialize(stage(candidates, seq), "staged")
     result = materialize(outcome(staged, canonical_documents(content, staged)), "outcome")
     product_names = [f.name for f in result.schema["product"].dataType.fields]
-    base_names = [f.name for f in result.schema["base"].dataType.fields]
 
     changes = result.filter(F.col("content_id").isNotNull()).select("content_id", F.col("product").alias("_p"))
     updated = conform(content).join(changes, "content_id", "left").withColumns(
         {name: F.coalesce(F.col(f"_p.{name}"), F.col(name)) for name in product_names}
     )
+    return conform(updated).unionByName(conform(inserted_rows(result, now))), result
+
+
+def inserted_rows(result: DataFrame, now: Column) -> DataFrame:
+    """The documents that an outcome adds to the content table."""
+    product_names = [f.name for f in result.schema["product"].dataType.fields]
+    base_names = [f.name for f in result.schema["base"].dataType.fields]
     fresh = result.filter(F.col("content_id").isNull())
     category = F.col("base.category") if "category" in base_names else F.lit(None).cast("string")
     storage = F.coalesce(F.when(present(category), category), F.lit("UNKNOWN"))
     doc = urls.doc_id(F.col("url_norm"))
-    inserts = fresh.select(
+    return fresh.select(
         *[F.col(f"base.{c}").alias(c) for c in base_names
           if c not in ("content_id", "storage_category", "doc_id", "status", "createdAt", "collectedAt")],
         *[F.col(f"product.{c}").alias(c) for c in product_names],
@@ -138,7 +149,6 @@ def merge_content(
         urls.content_id(storage, doc).alias("content_id"), F.lit("NEW").alias("status"),
         now.alias("createdAt"), now.alias("collectedAt"),
     )
-    return conform(updated).unionByName(conform(inserts)), result
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -188,46 +198,3 @@ def purge_untitled(content: DataFrame, dry_run: bool = False) -> tuple[DataFrame
     hit = urls.untitled_leftover(F.col("url"), F.col("title"))
     matched = content.filter(hit).select(F.col("content_id").alias("id"), "url")
     return (content if dry_run else content.filter(~hit)), matched
-
-
-# --- snapshots ----------------------------------------------------------------------------------
-def snapshot_log(spark: SparkSession, root: str) -> DataFrame:
-    schema = "version bigint, path string, batch_id bigint, stream string"
-    try:
-        return spark.read.schema(schema).parquet(f"{root}/_log")
-    except Exception as error:  # no snapshot yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def latest_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
-    row = snapshot_log(spark, root).agg(F.max(F.struct("version", "path")).alias("m")).first()
-    return (row.m.version, row.m.path) if row and row.m else (-1, None)
-
-
-def read_content(spark: SparkSession, root: str, category: str | None = None) -> DataFrame:
-    """The current snapshot; a category reads only its own partition."""
-    _, path = latest_version(spark, root)
-    if path is None:
-        return spark.createDataFrame([], CONTENT_DDL)
-    df = conform(spark.read.parquet(path))
-    return df.filter(F.col("storage_category") == category) if category else df
-
-
-def write_snapshot(content: DataFrame, root: str, batch_id: int | None = None, stream: str | None = None) -> str:
-    """Write a whole new snapshot beside the current one, then log it; readers switch with the log row.
-
-    `batch_id` and `stream` name the micro-batch it comes from.
-    """
-    spark = content.sparkSession
-    version, _ = latest_version(spark, root)
-    path = f"{root}/v{version + 1:06d}"
-    content.write.mode("overwrite").partitionBy("storage_category").parquet(path)
-    entry = spark.createDataFrame([(version + 1, path, batch_id, stream)], "version bigint, path string, batch_id bigint, stream string")
-    entry.coalesce(1).write.mode("append").parquet(f"{root}/_log")
-    return path
-
-
-def default_root(spark: SparkSession, name: str = "content") -> str:
-    return f"{shared_dir(spark)}/{name}"

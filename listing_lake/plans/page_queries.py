@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listing_lake.functions import urls
 from listing_lake.functions.text import squish
-from listing_lake.operators import backfill, dedupe, details, frontier, listings, nodes as N, store
+from listing_lake.operators import backfill, dedupe, details, frontier, listings, nodes as N, snapshots, store
 from listing_lake.operators.shred import elements, shred_pages
 from listing_lake.plans.registry import HOST_SQL, NOW, norm_sql, query, squish_sql, table
-from listing_lake.session import materialize, spread
+from listing_lake.session import materialize, shared_dir, spread
 from listing_lake.sources import dims, pages as P
 
 NORM = norm_sql("url")
@@ -253,6 +255,29 @@ def content_merge(spark, sf):
     return merged.select("content_id", "title", "status", "price", F.col("imageUrl").alias("image_url"))
 
 
+@query("incremental_merge", f"""
+WITH {ARRIVED_SQL}
+SELECT 'GOODS:' || sha256(u) AS content_id, 'old ' || old_id AS title, 'KEEP' AS status, last_id + 1000 AS price, 'https://i.example/a.jpg' AS image_url FROM g WHERE n_old > 0
+UNION ALL SELECT CASE WHEN first_id % 3 = 0 THEN 'FIGURE:' ELSE 'ANIME:' END || sha256(u), 'new ' || first_id, 'NEW', last_id + 1000, 'https://i.example/a.jpg' FROM g WHERE n_old = 0""")
+def incremental_merge(spark, sf):
+    """The same merge into the stored table, bucket by bucket."""
+    pages, root = table(spark, sf, "pages").select("page_id", "url"), f"{shared_dir(spark)}/content-{uuid.uuid4().hex}"
+    snapshots.write_content(_stored(pages), root, n_buckets=16)
+    snapshots.merge(spark, root, _arrivals(pages), NOW, ["seq"])
+    return snapshots.read_content(spark, root).select("content_id", "title", "status", "price", F.col("imageUrl").alias("image_url"))
+
+
+@query("purge_stored", f"""
+SELECT page_id AS content_id FROM pages WHERE NOT (page_id % 3 = 0 AND page_id % 4 < 2)""")
+def purge_stored(spark, sf):
+    """What a purge of the stored table leaves."""
+    root = f"{shared_dir(spark)}/content-{uuid.uuid4().hex}"
+    snapshots.write_content(store.conform(_untitled(spark, sf)), root, n_buckets=16)
+    hit = urls.untitled_leftover(F.col("url"), F.col("title"))
+    snapshots.rewrite(spark, root, hit, lambda rows: store.purge_untitled(rows)[0])
+    return snapshots.read_content(spark, root).select(F.col("content_id").cast("bigint").alias("content_id"))
+
+
 @query("merge_counters", f"""
 WITH {ARRIVED_SQL} SELECT count(*) AS urls, CAST(sum(2 * n) AS BIGINT) AS processed, CAST(sum(CASE WHEN n_old = 0 THEN 1 ELSE 0 END) AS BIGINT) AS inserted,
  CAST(sum(CASE WHEN n_old = 0 THEN 2 * n - 1 ELSE 2 * n END) AS BIGINT) AS existing,
@@ -304,12 +329,16 @@ def canonical_document(spark, sf):
 SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN 'https://x.com/u/status/' || page_id WHEN page_id % 4 = 1 THEN 'https://www.laftel.net/' ELSE url END AS url
 FROM pages WHERE page_id % 3 = 0 AND page_id % 4 < 2""")
 def purge_untitled(spark, sf):
+    return store.purge_untitled(_untitled(spark, sf))[1]
+
+
+def _untitled(spark, sf):
+    """A page per row, some with a placeholder title and a link that a purge takes."""
     kind = F.col("page_id") % 4
     link = F.when(kind == 0, F.concat(F.lit("https://x.com/u/status/"), F.col("page_id").cast("string"))).when(
         kind == 1, F.lit("https://www.laftel.net/")).otherwise(F.col("url"))
     title = F.when(F.col("page_id") % 3 == 0, urls.UNTITLED).otherwise("t")
-    content = table(spark, sf, "pages").select(F.col("page_id").alias("content_id"), link.alias("url"), title.alias("title"))
-    return store.purge_untitled(content)[1]
+    return table(spark, sf, "pages").select(F.col("page_id").alias("content_id"), link.alias("url"), title.alias("title"))
 
 
 # --- frontier -----------------------------------------------------------------------------------

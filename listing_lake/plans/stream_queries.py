@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from listing_lake.operators import store
+from listing_lake.operators import snapshots
 from listing_lake.plans.registry import HOST_SQL, NOW, norm_sql, query
 from listing_lake.session import configure, shared_dir
 from listing_lake.functions import urls
@@ -61,5 +61,23 @@ def stream_upsert(spark, sf):
         F.col("page_id").alias("seq"), "url", F.lit("t").alias("title"), F.when(F.length(host) % 2 == 0, "GOODS").otherwise("ANIME").alias("category"),
         F.col("page_id").alias("price"))
     folder = _folder(spark, "upsert")
-    streams.upsert_stream(rows, f"{folder}/content", f"{folder}/checkpoint", lambda: NOW, ["seq"])
-    return store.read_content(spark, f"{folder}/content").select("content_id", "status", "price")
+    streams.upsert_stream(rows, f"{folder}/content", f"{folder}/checkpoint", lambda: NOW, ["seq"], n_buckets=8)
+    return snapshots.read_content(spark, f"{folder}/content").select("content_id", "status", "price")
+
+
+@query("stream_upsert_two_sources", f"""
+WITH p AS (SELECT page_id, {norm_sql("url")} AS u FROM pages),
+g AS (SELECT u, min(page_id) FILTER (WHERE page_id % 2 = 0) AS even_id, min(page_id) AS first_id, max(page_id) AS last_id FROM p GROUP BY u)
+SELECT CASE WHEN even_id IS NULL THEN 'ANIME:' ELSE 'GOODS:' END || sha256(u) AS content_id,
+ CASE WHEN even_id IS NULL THEN 'b ' || first_id ELSE 'a ' || even_id END AS title, last_id + 1000 AS price FROM g""")
+def stream_upsert_two_sources(spark, sf):
+    """Two streams into one table: the second adds its own pages and renews the prices of the first's; a restart changes nothing."""
+    pages, folder, number = _stream(spark, sf, "pages"), _folder(spark, "upsert-two"), F.col("page_id").cast("string")
+    first = pages.filter("page_id % 2 = 0").select(
+        F.col("page_id").alias("seq"), "url", F.concat(F.lit("a "), number).alias("title"), F.lit("GOODS").alias("category"), F.col("page_id").alias("price"))
+    second = pages.select(
+        F.col("page_id").alias("seq"), "url", F.concat(F.lit("b "), number).alias("title"), F.lit("ANIME").alias("category"),
+        (F.col("page_id") + 1000).alias("price"))
+    for rows, checkpoint in ((first, "first"), (second, "second"), (first, "first")):
+        streams.upsert_stream(rows, f"{folder}/content", f"{folder}/{checkpoint}", lambda: NOW, ["seq"], n_buckets=8)
+    return snapshots.read_content(spark, f"{folder}/content").select("content_id", "title", "price")

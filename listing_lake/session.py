@@ -71,16 +71,18 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: `spark.checkpoint.dir` of the cluster.
 
-    Only a local master may fall back to a temporary folder.
+    Only a local master may do without: it gets one temporary folder per application, kept beside the context because the setting
+    cannot be changed in a running session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-    path = tempfile.mkdtemp(prefix="listing_lake_")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not getattr(context, "_listing_lake_dir", None):
+        context._listing_lake_dir = tempfile.mkdtemp(prefix="listing_lake_")
+    return context._listing_lake_dir
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listing_lake.functions import urls
-from listing_lake.operators import store
+from listing_lake.operators import snapshots
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 KST_MIDNIGHT = "15 hours"  # of the day before, in UTC
@@ -38,22 +38,18 @@ def to_parquet(path: str) -> Callable:
 
 
 def upsert_stream(
-    candidates: DataFrame, root: str, checkpoint: str, now: Callable[[], datetime], seq: list[str],
+    candidates: DataFrame, root: str, checkpoint: str, now: Callable[[], datetime], seq: list[str], n_buckets: int = snapshots.BUCKETS,
 ) -> None:
-    """Merge every micro-batch into the content table under `root`.
+    """Merge every micro-batch into the content table under `root`, writing only the buckets it changes.
 
-    A batch that this stream already logged is skipped, so a restart after a lost driver does not merge it twice. Streams are told
-    apart by the id that Spark keeps in their checkpoint: several may write to one root, one after the other, and a new checkpoint is a
-    new stream, whose rows are merged again, changing nothing where they are stored already.
+    A batch that this stream already committed is skipped, so a restart after a lost driver does not merge it twice. Streams are told
+    apart by the id that Spark keeps in their checkpoint: several may write to one root, also at the same time, and a new checkpoint is
+    a new stream, whose rows are merged again, changing nothing where they are stored already.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stream = spark.read.text(f"{checkpoint}/metadata").agg(F.max(F.get_json_object("value", "$.id"))).first()[0]
-        mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-        if not store.snapshot_log(spark, root).filter(mine).isEmpty():
-            return
-        merged, _ = store.merge_content(store.read_content(spark, root), batch, now(), seq)
-        store.write_snapshot(merged, root, batch_id, stream)
+        snapshots.merge(spark, root, batch, now(), seq, stream, batch_id, n_buckets)
 
     run_available(candidates, checkpoint, lambda writer: writer.foreachBatch(merge).start())
 

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
-from listing_lake.operators import feed, store
+from listing_lake.operators import feed, snapshots, store
 from listing_lake.plans import jobs
 from listing_lake.sources import dims
 from listing_lake.streaming import streams
@@ -26,8 +26,8 @@ def test_pages_to_feed(spark, tmp_path):
     snapshot, result = jobs.merge_run(store.conform(spark.createDataFrame([], store.CONTENT_DDL)), found, sources, NOW, ["page_no", "pos"])
     assert result.agg(F.sum("inserted")).first()[0] == 3
     root = str(tmp_path / "content")
-    store.write_snapshot(snapshot, root)
-    content = store.read_content(spark, root, "FIGURE")
+    snapshots.write_content(snapshot, root)
+    content = snapshots.read_content(spark, root, "FIGURE")
     works = dims.works_table(spark, [{"name": "Re:제로", "aliases": ["리제로"]}, {"name": "ONE PIECE", "aliases": "원피스"}])
     items, aliases = jobs.build_feed(content, works, NOW)
     got = {r.view.title_text: (r.works, r.view.signal_score) for r in items.collect()}
@@ -74,13 +74,13 @@ def test_upsert_stream_is_idempotent(spark, tmp_path):
     inbox, root = str(tmp_path / "in"), str(tmp_path / "content")
     write_batches(spark, inbox, schema, [(1, "https://e.example/a", "t", 10, "GOODS"), (2, "https://e.example/b", "t", 20, "GOODS")])
     run = lambda checkpoint, folder=inbox: streams.upsert_stream(
-        streams.read_stream(spark, folder, schema), root, str(tmp_path / checkpoint), lambda: NOW, ["seq"])
+        streams.read_stream(spark, folder, schema), root, str(tmp_path / checkpoint), lambda: NOW, ["seq"], n_buckets=4)
     run("c1")
     write_batches(spark, inbox, schema, [(3, "https://e.example/a?utm_id=1", "new", 30, "ANIME")])
     run("c1")
-    stored = lambda: {r.url: (r.title, r.price) for r in store.read_content(spark, root).collect()}
+    stored = lambda: {r.url: (r.title, r.price) for r in snapshots.read_content(spark, root).collect()}
     rows = {"https://e.example/a": ("t", 30), "https://e.example/b": ("t", 20)}
-    assert stored() == rows and store.snapshot_log(spark, root).count() == 2
+    assert stored() == rows and len(snapshots.versions(spark, root)) == 3
     run("c2")  # a lost checkpoint reads the files anew: stored rows stay as they are
     assert stored() == rows
     other = str(tmp_path / "other")
@@ -89,9 +89,9 @@ def test_upsert_stream_is_idempotent(spark, tmp_path):
     assert stored() == rows | {"https://e.example/c": ("u", 40)}
     for name in ("0", ".0.crc"):  # lost between merge and commit
         (tmp_path / "c3" / "commits" / name).unlink()
-    versions = store.snapshot_log(spark, root).count()
+    versions = snapshots.versions(spark, root)
     run("c3", other)
-    assert store.snapshot_log(spark, root).count() == versions
+    assert snapshots.versions(spark, root) == versions
 
 
 def test_event_time_streams(spark, tmp_path):

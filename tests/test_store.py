@@ -81,16 +81,6 @@ def test_purge(spark):
     assert store.purge_untitled(df, dry_run=True)[0].count() == 3
 
 
-def test_snapshots(spark, tmp_path):
-    root = str(tmp_path / "content")
-    assert store.read_content(spark, root).count() == 0
-    store.write_snapshot(content(spark, doc("https://e.example/a"), doc("https://e.example/g", category="GOODS")), root)
-    store.write_snapshot(store.read_content(spark, root).filter("storage_category = 'GOODS'").unionByName(
-        content(spark, doc("https://e.example/z"))), root)
-    assert store.read_content(spark, root).count() == 2
-    assert store.read_content(spark, root, "GOODS").count() == 1
-
-
 def crawl(spark, rows, pages, limit=None, dedupe_rows=True):
     c = spark.createDataFrame([("s", p, i, u) for i, (p, u) in enumerate(rows)], "source string, page_no int, pos int, url string")
     p = spark.createDataFrame([("s", n, d) for n, d in pages], "source string, page_no int, denied boolean")
