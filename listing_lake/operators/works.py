@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from listing_lake.functions.text import fold_title, strip
-from listing_lake.session import BROADCAST_ROWS, small_table
+from listing_lake.functions.text import fold_title, let, strip
+from listing_lake.session import materialize
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 MIN_KEYWORD = 2
 # ------------------------------------------------------------------------------------------------
 
+# A seed with more than one in so many of all (text, seed) rows is dealt to several tasks.
+HOT_SHARE = 1_000
+
 _ASCII = r"^[\x00-\x7f]*$"
 _RUN = r"[a-z0-9]+"
 _WIDE_PAIR = r"(?s)(?=([^\x00-\x7f].|.[^\x00-\x7f]))"
@@ -47,25 +50,19 @@ def _mark_runs(c: Column) -> Column:
 
 
 def keyword_seeds(keywords: DataFrame) -> DataFrame:
-    """Adds one seed per keyword that every matching text must hold.
+    """Adds `seeds`, everything short that a text must hold if it holds the keyword; `match_pairs` goes by the rarest of them.
 
-    ASCII keywords match whole words only, so their longest run of letters and digits is a whole run of the text.
-    Others seed on a pair of characters with a non-ASCII one. Keywords below two characters never match.
+    ASCII keywords match whole words only, so their runs of letters and digits are whole runs of the text, and their punctuation marks
+    stand in it. Others have pairs of characters with a non-ASCII one. Keywords below two characters never match.
     """
     norm = F.col("norm")
-    runs = F.transform(
-        F.regexp_extract_all(norm, F.lit(_RUN), F.lit(0)), lambda r, i: F.struct((-F.length(r)).alias("n"), i.alias("i"), r.alias("r")),
-    )
-    run = F.try_element_at(F.array_sort(runs), F.lit(1))["r"]
-    mark = F.regexp_extract(norm, _MARK, 0)
-    pair = F.try_element_at(F.regexp_extract_all(norm, F.lit(_WIDE_PAIR), F.lit(1)), F.lit(1))
+    tag = lambda kind, found: F.transform(found, lambda x: F.concat(F.lit(kind), x))
+    every = lambda pattern, group: F.array_distinct(F.regexp_extract_all(norm, F.lit(pattern), F.lit(group)))
     ascii_only = norm.rlike(_ASCII)
     return (
         keywords.filter(F.length("norm") >= MIN_KEYWORD)
         .withColumn("ascii", ascii_only)
-        .withColumn("seed", F.when(
-            ascii_only, F.coalesce(F.concat(F.lit("w:"), run), F.concat(F.lit("m:"), mark)),
-        ).otherwise(F.concat(F.lit("p:"), pair)))
+        .withColumn("seeds", F.when(ascii_only, F.concat(tag("w:", every(_RUN, 0)), tag("m:", every(_MARK, 0)))).otherwise(tag("p:", every(_WIDE_PAIR, 1))))
         .withColumn("fenced", F.when(norm.rlike(r"^[a-z0-9]") & norm.rlike(r"[a-z0-9]$"), _mark_runs(norm)))
     )
 
@@ -77,41 +74,61 @@ def text_seeds(text: Column) -> Column:
     return F.concat(tag("w:", every(_RUN, 0)), tag("p:", every(_WIDE_PAIR, 1)), tag("m:", every(_MARK, 0)))
 
 
-def _holds(text: Column, fenced_text: Column) -> Column:
-    edge = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("norm"), F.lit(r"\E(?![a-z0-9])"))
+def _holds(text: Column, fenced_text: Column, keyword: Column) -> Column:
+    edge = F.concat(F.lit(r"(?<![a-z0-9])\Q"), keyword["norm"], F.lit(r"\E(?![a-z0-9])"))
     return (
-        F.when(F.col("ascii") & F.col("fenced").isNotNull(), F.contains(fenced_text, F.col("fenced")))
-        .when(F.col("ascii"), F.rlike(text, edge))
-        .otherwise(F.contains(text, F.col("norm")))
+        F.when(keyword["ascii"] & keyword["fenced"].isNotNull(), F.contains(fenced_text, keyword["fenced"]))
+        .when(keyword["ascii"], F.rlike(text, edge))
+        .otherwise(F.contains(text, keyword["norm"]))
     )
 
 
-def match_pairs(items: DataFrame, keywords: DataFrame, item_id: str, text: str, wide_dictionary: bool = False) -> DataFrame:
+def rarest_seeds(keywords: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """Every keyword under the seed that the fewest texts hold, and `parts`, the tasks that the seed's rows are dealt to.
+
+    Seeds are counted over all texts. A keyword with a seed that no text holds matches nothing and is left out. A seed that stands for
+    more than one in `HOT_SHARE` of all (text, seed) rows is hot and has several parts; so there are fewer than `HOT_SHARE` hot ones,
+    whatever the tables hold.
+    """
+    counts = items.select(F.explode(text_seeds(F.col(text))).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "seed_counts")
+    found = (
+        keyword_seeds(keywords).select("work_ord", "work", "norm_name", "norm", "ascii", "fenced", F.explode("seeds").alias("seed"))
+        .join(counts, "seed", "left")
+        .groupBy("norm_name", "norm")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "seed")).alias("rarest"), F.first(F.struct("work_ord", "work", "ascii", "fenced")).alias("k"))
+        .filter("rarest.n > 0")
+        .select("rarest.seed", "rarest.n", "k.work_ord", "k.work", "norm_name", "norm", "k.ascii", "k.fenced")
+    )
+    share = F.ceil(F.col("n") * HOT_SHARE / counts.agg(F.sum("n")).scalar())
+    return found.withColumn("parts", F.greatest(F.lit(1), share).cast("int")).drop("n")
+
+
+def match_pairs(items: DataFrame, keywords: DataFrame, item_id: str, text: str) -> DataFrame:
     """Distinct (item, work_ord, work, norm_name) of every work whose keyword the text holds.
 
-    `text` is already normalised. A dictionary of at most `BROADCAST_ROWS` keywords goes to every task: a text keeps
-    only the seeds the dictionary has, so it is neither shuffled nor multiplied by its length. A larger one, or
-    `wide_dictionary`, joins on bare seeds by shuffle and brings the text back for the surviving pairs only.
+    `text` is already normalised. Texts and keywords meet on bare seeds, each keyword on its rarest one; rows of a hot seed are
+    dealt to several tasks, to each of which its keywords are copied. The text joins only the candidates of its own item, where they
+    are verified. Nothing is collected, and the plan is the same for any dictionary. Items without an id match nothing.
     """
-    seeds = keyword_seeds(keywords).select("work_ord", "work", "norm_name", "norm", "ascii", "fenced", "seed")
-    keys = [item_id, "work_ord", "work", "norm_name"]
-    texts = items.select(item_id, F.col(text).alias("_t"), _mark_runs(F.col(text)).alias("_f"))
-    if not wide_dictionary:
-        rows = seeds.limit(BROADCAST_ROWS + 1).collect()
-        if len(rows) <= BROADCAST_ROWS:
-            known = F.array(*[F.lit(s) for s in sorted({r.seed for r in rows})]).cast("array<string>")
-            hits = F.explode(F.array_intersect(text_seeds(F.col("_t")), known)).alias("seed")
-            found = texts.select(item_id, "_t", "_f", hits).join(small_table(items.sparkSession, rows, seeds.schema), "seed")
-            return found.filter(_holds(F.col("_t"), F.col("_f"))).select(*keys).distinct()
-    probes = items.select(item_id, F.explode(text_seeds(F.col(text))).alias("seed"))
-    pairs = probes.join(seeds, "seed").drop("seed")
-    # The texts are the large side whatever their files' size says, so they are never broadcast.
-    return pairs.join(texts.hint("merge"), item_id).filter(_holds(F.col("_t"), F.col("_f"))).select(*keys).distinct()
-
-
-def match_works(items: DataFrame, keywords: DataFrame, item_id: str, text: str, wide_dictionary: bool = False) -> DataFrame:
+    seeded = materialize(rarest_seeds(keywords, items, text), "seeded_keywords")
+    probes = (
+        items.select(item_id, F.explode(text_seeds(F.col(text))).alias("seed"))
+        # Fewer than HOT_SHARE rows, see rarest_seeds.
+        .join(F.broadcast(seeded.filter("parts > 1").select("seed", "parts").distinct()), "seed", "left")
+        .select(item_id, "seed", F.coalesce(F.pmod(F.xxhash64(item_id), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    )
+    copies = seeded.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keyword = F.struct("work_ord", "work", "norm_name", "norm", "ascii", "fenced")
+    candidates = probes.join(copies, ["seed", "part"]).groupBy(item_id).agg(F.collect_set(keyword).alias("candidates"))
+    held = let(_mark_runs(F.col("_t")), lambda fenced: F.filter("candidates", lambda k: _holds(F.col("_t"), fenced, k)))
+    found = items.select(item_id, F.col(text).alias("_t")).join(candidates, item_id).select(item_id, F.explode(held).alias("k"))
+    return found.select(item_id, "k.work_ord", "k.work", "k.norm_name").distinct()
+
+
+def match_works(items: DataFrame, keywords: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item, works): names of the matched works in dictionary order. Unmatched items are absent."""
-    pairs = match_pairs(items, keywords, item_id, text, wide_dictionary)
+    pairs = match_pairs(items, keywords, item_id, text)
     # At most one entry per work of the dictionary, so the list is bounded by the dictionary.
     ordered = F.array_sort(F.collect_set(F.struct("work_ord", "work")))
     return pairs.groupBy(item_id).agg(F.transform(ordered, lambda w: w["work"]).alias("works"))

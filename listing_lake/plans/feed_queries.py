@@ -274,7 +274,24 @@ def work_match(spark, sf):
 @query("work_match_wide", f"WITH {WORKS_SQL} SELECT doc_id, work_ord, work FROM pairs")
 def work_match_wide(spark, sf):
     texts = table(spark, sf, "documents").select("doc_id", fold_title(F.col("text")).alias("t"))
-    return W.match_pairs(texts, W.work_keywords(_works(spark, sf)), "doc_id", "t", wide_dictionary=True).select("doc_id", "work_ord", "work")
+    return W.match_pairs(texts, W.work_keywords(_works(spark, sf)), "doc_id", "t").select("doc_id", "work_ord", "work")
+
+
+@query("work_match_hot", f"""
+WITH {WORKS_SQL}, hot AS (SELECT doc_id, source, 'scale figure ' || t || ' 한정판' AS t FROM texts),
+more AS (SELECT work_ord, work, norm FROM kw UNION ALL SELECT * FROM (VALUES (-4, 'Figure', 'figure'), (-3, '한정판', '한정판'), (-2, 'Scale Figure', 'scale figure'),
+ (-1, 'Figure Of Nobody', 'figure of nobody')))
+SELECT work_ord, any_value(work) AS work, count(DISTINCT doc_id) AS items FROM hot JOIN more ON contains(t, norm) AND CASE WHEN regexp_matches(norm, '^[ -~]*$')
+ THEN regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(norm) || '($|[^a-z0-9])') ELSE true END GROUP BY work_ord""")
+def work_match_hot(spark, sf):
+    """Items per work where some keywords stand in every text and one has only common words."""
+    title = F.concat(F.lit("Scale figure "), fold_title(F.col("text")), F.lit(" 한정판"))
+    texts = table(spark, sf, "documents").select("doc_id", fold_title(title).alias("t"))
+    hot = spark.createDataFrame(
+        [(-4, "Figure"), (-3, "한정판"), (-2, "Scale Figure"), (-1, "Figure Of Nobody")], "ord int, name string").withColumn("aliases", F.array().cast("array<string>"))
+    works = _works(spark, sf).unionByName(hot)
+    found = W.match_pairs(texts, W.work_keywords(works), "doc_id", "t")
+    return found.groupBy("work_ord").agg(F.min("work").alias("work"), F.count(F.lit(1)).alias("items"))
 
 
 @query("coverage_audit", f"""

@@ -31,8 +31,8 @@ def test_titles(spark):
     got = {r.content_id: r.works for r in W.with_works(items, keywords).collect()}
     assert [got[i] for i in range(len(TITLES))] == [w for _, _, w in TITLES]
     texts = items.select("content_id", W.fold_title(F.concat_ws(" ", "title", "titleKo")).alias("t"))
-    wide = {r.content_id: r.works for r in W.match_works(texts, keywords, "content_id", "t", wide_dictionary=True).collect()}
-    assert wide == {i: w for i, w in got.items() if w}
+    alone = {r.content_id: r.works for r in W.match_works(texts, keywords, "content_id", "t").collect()}
+    assert alone == {i: w for i, w in got.items() if w}
 
 
 def test_seeds_agree_with_brute_force(spark):
@@ -57,6 +57,21 @@ def test_seeds_agree_with_brute_force(spark):
     assert got == want
 
 
+def test_rarest_seed_and_hot_parts(spark, monkeypatch):
+    titles = [f"limited figure {i}" for i in range(40)] + ["limited figure alpha", "한정판 figure alpha", "한정 판 beta", "게임 한정판"]
+    items = spark.createDataFrame(list(enumerate(titles)), "id int, t string").repartition(3)
+    works = [{"name": n} for n in ("figure alpha", "Figure", "limited", "figure gamma", "한정판", "게임 한정판", "beta")]
+    keywords = W.work_keywords(works_table(spark, works))
+    monkeypatch.setattr(W, "HOT_SHARE", 20)
+    seeded = {r.norm: (r.seed, r.parts) for r in W.rarest_seeds(keywords, items, "t").collect()}
+    assert seeded["figure alpha"][0] == "w:alpha" and seeded["게임 한정판"][0] in ("p:게임", "p:임 ", "p: 한") and "figure gamma" not in seeded
+    assert seeded["beta"][1] == 1 and seeded["figure"][1] > 5 and seeded["limited"][1] > 5
+    got = {(r.id, r.work) for r in W.match_pairs(items, keywords, "id", "t").collect()}
+    want = {(i, n) for i, t in enumerate(titles) for n in ("Figure", "limited") if n.lower() in t.split()}
+    assert got == want | {(40, "figure alpha"), (41, "figure alpha"), (41, "한정판"), (43, "한정판"), (43, "게임 한정판"), (42, "beta")}
+    assert W.match_pairs(items.filter("false"), keywords, "id", "t").count() == 0 and W.match_pairs(items, keywords.filter("false"), "id", "t").count() == 0
+
+
 def test_visible_aliases_and_coverage(spark):
     works = works_table(spark, WORKS)
     keywords = W.work_keywords(works)
