@@ -9,18 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from listing_lake.llm.common import lower_ascii, text
+from listing_lake.llm.common import text
 from listing_lake.session import materialize
 
 PIECE_ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 UNKNOWN = "und"
-# Moduli and bases of the two polynomials that make a fingerprint. Weaker ones cost time, not correctness.
-MODULI = (2_147_483_647, 2_147_483_629)
-BASES = (911_382_323, 972_663_749)
+# Odd bases of the polynomials over bytes and over words, modulo 2 ** 64. Weak fingerprints would cost time, not correctness.
+LETTER_BASE, WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
 # Bits of the filter that tells tasks which shorter phrases are frequent; its size does not depend on the data.
 FILTER_BITS = 26
 # Bytes of text hashed at a time.
-WINDOW = 4 << 20
+WINDOW = 2 << 20
 
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[ord(c) for c in BLANKS]] = 1
@@ -28,55 +27,59 @@ _KINDS[[ord(c) for c in PIECE_ENDS]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+# Merged rows and distinct words that a task holds before it passes them on.
+HELD_ROWS, HELD_WORDS = 250_000, 300_000
+
 COUNTS = "lang string, fingerprint long, n long"
-POINTERS = "lang string, fingerprint long, n long, text_a long, text_b long, start int, bytes int"
+OCCURRENCES = "lang string, fingerprint long, phrase string, n_words int, n long, seen_in long"
 
 
 # --- one window of text -------------------------------------------------------------------------
-_POWERS: dict = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, modulus: int, n: int) -> np.ndarray:
-    """The first n powers of the base; grown by doubling and kept."""
-    known = _POWERS.get((base, modulus), np.ones(1, np.int64))
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of the base modulo 2 ** 64; grown by doubling and kept."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
     while len(known) < n:
-        known = np.concatenate([known, known * pow(base, len(known), modulus) % modulus])
-    _POWERS[base, modulus] = known
+        known = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
+    _POWERS[base] = known
     return known[:n]
 
 
-def _prefix(values: np.ndarray, base: int, modulus: int) -> np.ndarray:
-    """Prefix sums of the polynomial with these coefficients; a sum stays below 2 ** 63 for any window that fits memory."""
-    terms = values * _powers(base, modulus, len(values))
-    terms %= modulus
-    return np.concatenate([np.zeros(1, np.int64), np.cumsum(terms)])
+def _prefix(values: np.ndarray, base: int) -> np.ndarray:
+    """Prefix sums of the polynomial with these coefficients."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(base, len(values)), out=out[1:])
+    return out
 
 
-def _slices(prefix: np.ndarray, first: np.ndarray, end: np.ndarray, base: int, modulus: int) -> np.ndarray:
-    """Hashes of slices, the same wherever in the window a slice stands."""
-    inverse = _powers(pow(base, -1, modulus), modulus, int(first.max()) + 1 if len(first) else 1)
-    return (prefix[end] - prefix[first]) % modulus * inverse[first] % modulus
+def _slices(prefix: np.ndarray, first: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of slices, the same wherever in the window a slice stands: the sum between two places over the power of the first."""
+    inverse = _powers(pow(base, -1, 1 << 64), len(prefix))
+    out = (prefix[end] - prefix[first]) * inverse[first]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 class Words:
     """The words of one window: where they are, their piece, and fingerprints of all runs of words."""
 
-    def __init__(self, data: np.ndarray, tags: np.ndarray, owner_of, moduli: Sequence[int]):
+    def __init__(self, data: np.ndarray, tags: np.ndarray, owner_of, hash_bits: int):
         kinds = _KINDS[data]
-        edges = np.diff((kinds == 0).view(np.int8), prepend=0, append=0)
+        word = np.zeros(len(data) + 2, np.int8)
+        word[1:-1] = kinds == 0
+        edges = np.diff(word)
         self.data = _LOWER[data]
         self.first, self.end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        self.piece = np.cumsum(kinds == 2, dtype=np.int32)[self.first] if len(self.first) else np.zeros(0, np.int32)
+        self.piece = np.searchsorted(np.flatnonzero(kinds == 2), self.first)
         self.owner = owner_of(self.first)
         self.tag = tags[self.owner]
-        self.moduli, self.sums, halves = moduli, [], []
-        for base, modulus in zip(BASES, moduli):
-            base %= modulus
-            letters = _prefix(self.data.astype(np.int64) + 1, base, modulus)
-            code = _slices(letters, self.first, self.end, base, modulus)
-            halves.append(code)
-            self.sums.append(_prefix(code + 1, base, modulus))
-        self.code = halves[0] << 31 | halves[1]
+        self.mask = np.uint64((1 << hash_bits) - 1)
+        self.code = _slices(_prefix(self.data + np.uint64(1), LETTER_BASE), self.first, self.end, LETTER_BASE) & self.mask
+        self.sums = _prefix(self.code, WORD_BASE)
 
     def __len__(self) -> int:
         return len(self.first)
@@ -88,42 +91,65 @@ class Words:
 
     def fingerprints(self, length: int, at: np.ndarray) -> np.ndarray:
         """Fingerprints of the runs of `length` words that begin at the given words; language and length are mixed in."""
-        halves = [
-            _slices(sums, at, at + length, base % modulus, modulus) for sums, base, modulus in zip(self.sums, BASES, self.moduli)]
-        mixed = (halves[0] << 31 | halves[1]).astype(np.uint64) + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64))
-        return (mixed ^ self.tag[at]).view(np.int64)
-
-    def exact_ids(self) -> np.ndarray:
-        """A number per word, equal for equal bytes only: equal codes are compared with the first word of the code, byte by byte."""
-        _, first, ids = np.unique(self.code, return_index=True, return_inverse=True)
-        like = first[ids]
+        mixed = _slices(self.sums, at, at + length, WORD_BASE) + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64))
+        return ((mixed ^ self.tag[at]) & self.mask).view(np.int64)
+
+    def exact_ids(self, known: dict[bytes, int]) -> np.ndarray:
+        """A number per word, equal for equal bytes only and kept in `known`: words of one code are compared with the first of them,
+        byte by byte."""
+        _, first, of = np.unique(self.code, return_index=True, return_inverse=True)
+        like = first[of]
         sizes = self.end - self.first
         differs = sizes != sizes[like]
         same = np.flatnonzero(~differs)
-        span, begin = sizes[same], np.cumsum(sizes[same]) - sizes[same]
-        within = np.arange(int(span.sum())) - np.repeat(begin, span)
+        span = sizes[same]
+        within = np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
         unlike = self.data[np.repeat(self.first[same], span) + within] != self.data[np.repeat(self.first[like[same]], span) + within]
         differs[np.repeat(same, span)[unlike]] = True
-        fresh: dict[bytes, int] = {}
+
+        def number(i: int) -> int:
+            return known.setdefault(self.data[self.first[i]:self.end[i]].tobytes(), len(known))
+
+        ids = np.fromiter(map(number, first), np.int32, len(first))[of]
         for i in np.flatnonzero(differs):
-            ids[i] = fresh.setdefault(self.data[self.first[i]:self.end[i]].tobytes(), len(first) + len(fresh))
+            ids[i] = number(i)
         return ids
 
-    def groups(self, length: int, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(fingerprint, first word, count) of the distinct runs among those at `at`; collisions are told apart by their words."""
-        found, first, of, n = np.unique(self.fingerprints(length, at), return_index=True, return_inverse=True, return_counts=True)
-        lead = at[first]
-        like = lead[of]
-        differs = self.tag[at] != self.tag[like]
-        for k in range(length):
-            differs |= ids[at + k] != ids[like + k]
-        if not differs.any():
-            return found, lead, n
-        n = n - np.bincount(of[differs], minlength=len(found))
-        odd = at[differs]
-        runs = np.stack([self.tag[odd].view(np.int64), *[ids[odd + k] for k in range(length)]], 1)
-        _, where, more = np.unique(runs, axis=0, return_index=True, return_counts=True)
-        return (np.concatenate([found, self.fingerprints(length, odd[where])]), np.concatenate([lead, odd[where]]), np.concatenate([n, more]))
+
+class Tally:
+    """Counts of runs of words by fingerprint, each with its words and one row that holds it. Runs of one fingerprint are only added up
+    where all their words are the same."""
+
+    def __init__(self, longest: int):
+        self.longest, self.parts, self.rows = longest, [], 0
+
+    def add(self, fingerprints: np.ndarray, language: np.ndarray, runs: np.ndarray, n: np.ndarray, row: np.ndarray) -> None:
+        if len(fingerprints):
+            self.parts.append(self._merge(fingerprints, language, runs, n, row))
+            self.rows += len(self.parts[-1][0])
+
+    def _merge(self, fingerprints, language, runs, n, row):
+        _, first, of = np.unique(fingerprints, return_index=True, return_inverse=True)
+        like = first[of]
+        odd = (language != language[like]) | (runs != runs[like]).any(1)
+        total = np.bincount(of[~odd], n[~odd], len(first)).astype(np.int64)
+        keep = np.concatenate([first, np.flatnonzero(odd)])
+        return fingerprints[keep], language[keep], runs[keep], np.concatenate([total, n[odd]]), row[keep]
+
+    def take(self, words: list[bytes], languages: list[str], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        """All counts so far, with the phrases spelled, some rows at a time; nothing is left."""
+        if self.parts:
+            columns = [np.concatenate(column) for column in zip(*self.parts)]
+            self.parts, self.rows = [], 0
+            merged, spoken = self._merge(*columns), pa.array(languages, pa.string())
+            del columns
+            for at in range(0, len(merged[0]), rows):
+                fingerprints, language, runs, n, row = [column[at:at + rows] for column in merged]
+                size = (runs >= 0).sum(1)
+                phrases = [b" ".join([words[i] for i in run[:k]]).decode(errors="replace") for run, k in zip(runs.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    spoken.take(pa.array(language)), pa.array(fingerprints), pa.array(phrases, pa.string()), pa.array(size, pa.int32()),
+                    pa.array(n), pa.array(row)], ["lang", "fingerprint", "phrase", "n_words", "n", "seen_in"])
 
 
 def _windows(texts: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
@@ -152,15 +178,17 @@ def _windows(texts: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, int, np.
         start = stop
 
 
-def _read(batch: pa.RecordBatch, moduli: Sequence[int], limit: int) -> Iterator[tuple[Words, list[str], np.ndarray, int, np.ndarray]]:
-    """(words, languages, language number per text, start of the window, starts of the texts) of each window of a batch."""
+def _read(batch: pa.RecordBatch, hash_bits: int, limit: int) -> Iterator[tuple[Words, list[str], np.ndarray]]:
+    """(words, languages, language number per text) of each window of a batch that has words."""
     names = batch.column("lang").dictionary_encode()
     languages = names.dictionary.to_pylist()
     number = names.indices.to_numpy(zero_copy_only=False)
     marks = np.array([int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") for v in languages] or [0], np.uint64)
     tags = marks[number] if len(number) else np.zeros(0, np.uint64)
     for data, start, begins in _windows(batch.column("summary"), limit):
-        yield Words(data, tags, lambda at: np.searchsorted(begins, at + start, "right") - 1, moduli), languages, number, start, begins
+        words = Words(data, tags, lambda at: np.searchsorted(begins, at + start, "right") - 1, hash_bits)
+        if len(words):
+            yield words, languages, number
 
 
 class Filter:
@@ -204,75 +232,81 @@ def _frequent_runs(words: Words, lengths: Sequence[int], known) -> Iterator[tupl
 
 
 # --- passes over all texts ----------------------------------------------------------------------
-def _count_pass(texts: DataFrame, lengths: Sequence[int], shorter: Filter | None, moduli: Sequence[int], window: int) -> DataFrame:
+def _count_pass(texts: DataFrame, lengths: Sequence[int], shorter: Filter | None, hash_bits: int, window: int) -> DataFrame:
     """(lang, fingerprint, n): every window's counts of the runs of these lengths. In the pass over single words, rows without a
     fingerprint count the words of a language."""
     shared = None if shorter is None else texts.sparkSession.sparkContext.broadcast(shorter)
+    names = ["lang", "fingerprint", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, languages, number, _, _ in _read(batch, moduli, window):
-                if not len(words):
-                    continue
+            for words, languages, number in _read(batch, hash_bits, window):
                 for length, at in _frequent_runs(words, lengths, shared and shared.value):
                     found, n = np.unique(words.fingerprints(length, at), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "fingerprint", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.string()), pa.array(found), pa.array(n)], names)
                 if lengths[0] == 1:
                     n = np.bincount(number[words.owner], minlength=len(languages))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(languages, pa.string()), pa.nulls(len(languages), pa.int64()), pa.array(n)], ["lang", "fingerprint", "n"])
+                        [pa.array(languages, pa.string()), pa.nulls(len(languages), pa.int64()), pa.array(n)], names)
 
     return texts.select("lang", "summary").mapInArrow(count, COUNTS)
 
 
-def _pointer_pass(texts: DataFrame, longest: int, frequent: Filter, moduli: Sequence[int], window: int) -> DataFrame:
-    """(lang, fingerprint, n, text key, start, bytes): every window's verified counts of the runs that may be frequent, each with a
-    pointer to its first occurrence there."""
+def _occurrence_pass(texts: DataFrame, longest: int, frequent: Filter, hash_bits: int, window: int) -> DataFrame:
+    """Counts of the runs that may be frequent, verified word by word within each task, with their text and a row that holds them."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    names = ["lang", "fingerprint", "n", "text_a", "text_b", "start", "bytes"]
 
-    def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        spoken: dict[str, int] = {}
+        tally = Tally(longest)
         for batch in batches:
-            key_a, key_b = batch.column("text_a").to_numpy(), batch.column("text_b").to_numpy()
-            for words, languages, number, start, begins in _read(batch, moduli, window):
-                if not len(words):
-                    continue
-                ids, spoken = words.exact_ids(), pa.array(languages, pa.string())
+            key = batch.column("row_key").to_numpy()
+            for words, languages, number in _read(batch, hash_bits, window):
+                ids = words.exact_ids(known)
+                language = np.array([spoken.setdefault(v, len(spoken)) for v in languages], np.int32)[number]
                 for length in range(1, longest + 1):
                     at = np.flatnonzero(words.whole(length))
-                    at = at[shared.value.holds(words.fingerprints(length, at))]
-                    found, lead, n = words.groups(length, at, ids)
-                    owner = words.owner[lead]
-                    yield pa.RecordBatch.from_arrays([
-                        spoken.take(pa.array(number[owner])), pa.array(found), pa.array(n), pa.array(key_a[owner]), pa.array(key_b[owner]),
-                        pa.array((words.first[lead] + start - begins[owner]).astype(np.int32)),
-                        pa.array((words.end[lead + length - 1] - words.first[lead]).astype(np.int32))], names)
-
-    return texts.mapInArrow(point, POINTERS)
+                    prints = words.fingerprints(length, at)
+                    held = shared.value.holds(prints)
+                    at, prints = at[held], prints[held]
+                    runs = np.full((len(at), longest), -1, np.int32)
+                    for k in range(length):
+                        runs[:, k] = ids[at + k]
+                    owner = words.owner[at]
+                    tally.add(prints, language[owner], runs, np.ones(len(at), np.int64), key[owner])
+                if tally.rows > HELD_ROWS or len(known) > HELD_WORDS:
+                    yield from tally.take(list(known), list(spoken))
+                    if len(known) > HELD_WORDS:
+                        known = {}
+        yield from tally.take(list(known), list(spoken))
+
+    return texts.mapInArrow(look, OCCURRENCES)
 
 
 def frequent_phrases(
     content: DataFrame, language: str = "sourceLanguage", min_count: int = 100, longest: int = 5,
-    moduli: Sequence[int] = MODULI, filter_bits: int = FILTER_BITS, window: int = WINDOW,
+    hash_bits: int = 64, filter_bits: int = FILTER_BITS, window: int = WINDOW,
 ) -> tuple[DataFrame, DataFrame]:
-    """(phrases, totals): `lang, phrase, n_words, n` of all phrases of 1 to `longest` words that occur `min_count` times or more in their
-    language, and `lang, total` words.
+    """(phrases, totals): `lang, phrase, n_words, n, seen_in` of all phrases of 1 to `longest` words that occur `min_count` times or more in
+    their language, and `lang, total` words.
 
     A-Z are lower-cased, pieces end at `.,;:!?` and line ends, words at blanks and tabs; a phrase lies within one piece, and overlapping
-    occurrences all count. A null language is `und`, a null text empty.
+    occurrences all count. A null language is `und`, a null text empty. `seen_in` points to a row that holds the phrase: the
+    `xxhash64` of its id and text.
 
     Prefix polynomials give every run of words its fingerprint. Single words, pairs, then longer runs are counted by fingerprint; a
     run is only counted where its shorter runs may be frequent, by a filter of a fixed number of bits that never misses one. A last
-    pass counts the frequent ones again, word by word against their first occurrence, and points to it. The pointers of all
-    windows are looked up in the texts, so runs of different words never count together, however the fingerprints collide, and
-    only frequent phrases become text. Equal texts are looked up once.
+    pass counts the frequent ones again: a task adds runs up only where their words are the same, points to a row of each, and
+    spells it. The shuffle brings fingerprints together with their pointers and text, so that different phrases never count
+    together, however fingerprints collide, and only phrases that may be frequent become text.
     """
     texts = content.select(
-        F.coalesce(F.col(f"`{language}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text().alias("summary"))
-    keyed = texts.select("*", F.xxhash64("summary").alias("text_a"), F.xxhash64(F.lit(7), "summary").alias("text_b"))
+        F.coalesce(F.col(f"`{language}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text().alias("summary"),
+        F.xxhash64("content_id", text()).alias("row_key"))
 
     def frequent(lengths: Sequence[int], shorter: Filter | None) -> DataFrame:
-        counted = _count_pass(texts, lengths, shorter, moduli, window).groupBy("lang", "fingerprint").agg(F.sum("n").alias("n"))
+        counted = _count_pass(texts, lengths, shorter, hash_bits, window).groupBy("lang", "fingerprint").agg(F.sum("n").alias("n"))
         return materialize(counted.where((F.col("n") >= min_count) | F.col("fingerprint").isNull()), "frequent")
 
     single = frequent([1], None)
@@ -284,26 +318,10 @@ def frequent_phrases(
     known = tables[0]
     for table in tables[1:]:
         known = known.unionByName(table)
-    pointers = (
-        _pointer_pass(keyed, longest, _filter(known, filter_bits), moduli, window)
-        .join(known, "fingerprint", "left_semi")
-        # The same text in many windows gives the same pointers.
-        .groupBy("text_a", "text_b", "lang", "start", "bytes").agg(F.sum("n").alias("n"))
-        .groupBy("text_a", "text_b").agg(F.collect_list(F.struct("lang", "start", "bytes", "n")).alias("pointers"))
-    )
-    looked_up = keyed.groupBy("text_a", "text_b").agg(F.first("summary").alias("summary")).join(pointers, ["text_a", "text_b"])
-
-    def phrase(value: Column) -> Column:
-        return F.regexp_replace(lower_ascii(value), r"[\x20\x09]+", " ")
-
-    spelled = looked_up.select(F.inline(F.transform("pointers", lambda p: F.struct(
-        p["lang"].alias("lang"), p["n"].alias("n"),
-        F.substring(F.col("summary").cast("binary"), p["start"] + 1, p["bytes"]).cast("string").alias("raw")))))
     phrases = (
-        spelled.groupBy("lang", "raw").agg(F.sum("n").alias("n"))
-        .groupBy("lang", phrase(F.col("raw")).alias("phrase")).agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= min_count)
-        .select("lang", "phrase", (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).alias("n_words"), "n")
+        _occurrence_pass(texts, longest, _filter(known, filter_bits), hash_bits, window)
+        .groupBy("lang", "fingerprint", "phrase", "n_words").agg(F.sum("n").alias("n"), F.min("seen_in").alias("seen_in"))
+        .where(F.col("n") >= min_count).drop("fingerprint")
     )
     return materialize(phrases, "phrases"), totals
 

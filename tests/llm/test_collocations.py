@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from listing_lake.llm import collocations
 from listing_lake.operators import store
@@ -66,7 +67,7 @@ def found(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("passes", [{}, {"moduli": (11, 7), "window": 300, "filter_bits": 8}], ids=["usual", "collisions"])
+@pytest.mark.parametrize("passes", [{}, {"hash_bits": 5, "window": 300, "filter_bits": 8}], ids=["usual", "collisions"])
 def test_phrases_equal_plain_counting(spark, passes):
     rows = texts(n=400)
     want = plain_phrases(rows, 8, top=30)
@@ -83,8 +84,12 @@ def test_shorter_phrases_and_partial_cover(spark):
 def test_frequent_phrases_are_exact(spark):
     rows = texts(8, 50)
     counts, totals = plain_counts(rows)
-    phrases, sums = collocations.frequent_phrases(frame(spark, rows), min_count=10)
-    assert {(r.lang, r.phrase): (r.n_words, r.n) for r in phrases.collect()} == {
+    table = frame(spark, rows)
+    phrases, sums = collocations.frequent_phrases(table, min_count=10)
+    found = phrases.collect()
+    pointed = {r.key: r.summary for r in table.select("summary", F.xxhash64("content_id", F.coalesce("summary", F.lit(""))).alias("key")).collect()}
+    assert all((r.lang, tuple(r.phrase.split(" "))) in plain_counts([(pointed[r.seen_in], r.lang)])[0] for r in found)
+    assert {(r.lang, r.phrase): (r.n_words, r.n) for r in found} == {
         (g, " ".join(w)): (len(w), n) for (g, w), n in counts.items() if n >= 10}
     assert {r.lang: r.total for r in sums.collect()} == {g: n for g, n in totals.items() if n}
 
@@ -105,8 +110,19 @@ def test_windows_cut_between_pieces_only():
     assert b"".join(p.tobytes() for p, _, _ in collocations._windows(values.slice(3), 5)) == b"gh ij kl mn\nop\n"
 
 
+def test_task_adds_up_equal_words_only():
+    tally = collocations.Tally(2)
+    runs = np.array([[0, 1], [0, 1], [0, 2], [0, 1]], np.int32)
+    tally.add(np.zeros(4, np.int64), np.array([0, 0, 0, 1], np.int32), runs, np.ones(4, np.int64), np.arange(4))
+    tally.add(np.zeros(1, np.int64), np.zeros(1, np.int32), runs[:1], np.array([5]), np.array([9]))
+    batches = list(tally.take([b"a", b"b", b"c"], ["ja", "ko"], rows=2))
+    assert len(batches) == 2 and sorted(t for b in batches for t in zip(*[b.column(c).to_pylist() for c in ("lang", "phrase", "n_words", "n")])) == [
+        ("ja", "a b", 2, 7), ("ja", "a c", 2, 1), ("ko", "a b", 2, 1)]
+    assert not list(tally.take([], []))
+
+
 def test_slices_hash_alike_wherever_they_stand():
     data = np.frombuffer(b"shop figure. a shop figure\n", np.uint8)
-    words = collocations.Words(data, np.zeros(1, np.uint64), lambda at: np.zeros(len(at), np.int64), collocations.MODULI)
-    pairs = words.fingerprints(2, np.flatnonzero(words.whole(2)))
-    assert pairs[0] == pairs[2] != pairs[1] and words.exact_ids().tolist()[0] == words.exact_ids().tolist()[3]
+    words = collocations.Words(data, np.zeros(1, np.uint64), lambda at: np.zeros(len(at), np.int64), 64)
+    pairs, ids = words.fingerprints(2, np.flatnonzero(words.whole(2))), words.exact_ids({}).tolist()
+    assert pairs[0] == pairs[2] != pairs[1] and [ids[i] for i in (0, 1)] == [ids[3], ids[4]] and len(set(ids)) == 3
