@@ -16,6 +16,8 @@ PIECE_ENDS, BLANKS = ".,;:!?\n\x0b\x0c\r", " \t"
 UNKNOWN = "und"
 # Odd bases of the polynomials over bytes and over words, modulo 2 ** 64. Weak fingerprints would cost time, not correctness.
 LETTER_BASE, WORD_BASE = 0x5851F42D4C957F2D, 0x2545F4914F6CDD1D
+# The same for the check that tells whether all runs of one fingerprint were the same; its sums must fit 64 bits.
+CHECK_LETTER_BASE, CHECK_WORD_BASE, CHECK_BITS = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 20
 # Bits of the filter that tells tasks which shorter phrases are frequent; its size does not depend on the data.
 FILTER_BITS = 26
 # Bytes of text hashed at a time.
@@ -30,7 +32,8 @@ _LOWER[65:91] += 32
 # Merged rows and distinct words that a task holds before it passes them on.
 HELD_ROWS, HELD_WORDS = 250_000, 300_000
 
-COUNTS = "lang string, fingerprint long, n long"
+COUNTS = "lang string, n_words int, fingerprint long, n long, checks long, seen_in long"
+SPELLED = "lang string, fingerprint long, phrase string, n_words int, check long"
 OCCURRENCES = "lang string, fingerprint long, phrase string, n_words int, n long, seen_in long"
 
 
@@ -80,6 +83,8 @@ class Words:
         self.mask = np.uint64((1 << hash_bits) - 1)
         self.code = _slices(_prefix(self.data + np.uint64(1), LETTER_BASE), self.first, self.end, LETTER_BASE) & self.mask
         self.sums = _prefix(self.code, WORD_BASE)
+        check = _slices(_prefix(self.data + np.uint64(1), CHECK_LETTER_BASE), self.first, self.end, CHECK_LETTER_BASE)
+        self.check_sums = _prefix(check, CHECK_WORD_BASE)
 
     def __len__(self) -> int:
         return len(self.first)
@@ -94,6 +99,14 @@ class Words:
         mixed = _slices(self.sums, at, at + length, WORD_BASE) + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64))
         return ((mixed ^ self.tag[at]) & self.mask).view(np.int64)
 
+    def checks(self, length: int, at: np.ndarray) -> np.ndarray:
+        """A second, unrelated hash of the same runs, of `CHECK_BITS` bits."""
+        return (_slices(self.check_sums, at, at + length, CHECK_WORD_BASE) >> np.uint64(64 - CHECK_BITS)).view(np.int64)
+
+    def spell(self, length: int, at: int) -> str:
+        parts = [self.data[self.first[i]:self.end[i]].tobytes() for i in range(at, at + length)]
+        return b" ".join(parts).decode(errors="replace")
+
     def exact_ids(self, known: dict[bytes, int]) -> np.ndarray:
         """A number per word, equal for equal bytes only and kept in `known`: words of one code are compared with the first of them,
         byte by byte."""
@@ -233,27 +246,61 @@ def _frequent_runs(words: Words, lengths: Sequence[int], known) -> Iterator[tupl
 
 # --- passes over all texts ----------------------------------------------------------------------
 def _count_pass(texts: DataFrame, lengths: Sequence[int], shorter: Filter | None, hash_bits: int, window: int) -> DataFrame:
-    """(lang, fingerprint, n): every window's counts of the runs of these lengths. In the pass over single words, rows without a
-    fingerprint count the words of a language."""
+    """(lang, n_words, fingerprint, n, checks, seen_in): every window's runs of these lengths by fingerprint: how many, the sum of their checks, and
+    a pointer to one. In the pass over single words, rows without a fingerprint count the words of a language."""
     shared = None if shorter is None else texts.sparkSession.sparkContext.broadcast(shorter)
-    names = ["lang", "fingerprint", "n"]
+    names = ["lang", "n_words", "fingerprint", "n", "checks", "seen_in"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            key = batch.column("row_key").to_numpy()
             for words, languages, number in _read(batch, hash_bits, window):
                 for length, at in _frequent_runs(words, lengths, shared and shared.value):
-                    found, n = np.unique(words.fingerprints(length, at), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.string()), pa.array(found), pa.array(n)], names)
+                    if not len(at):
+                        continue
+                    prints = words.fingerprints(length, at)
+                    order = np.argsort(prints)
+                    prints, at = prints[order], at[order]
+                    begin = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.nulls(len(begin), pa.string()), pa.array(np.full(len(begin), length, np.int32)), pa.array(prints[begin]), pa.array(np.diff(np.append(begin, len(at)))),
+                        pa.array(np.add.reduceat(words.checks(length, at), begin)),
+                        pa.array(np.minimum.reduceat(key[words.owner[at]], begin))], names)
                 if lengths[0] == 1:
                     n = np.bincount(number[words.owner], minlength=len(languages))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(languages, pa.string()), pa.nulls(len(languages), pa.int64()), pa.array(n)], names)
+                    none = pa.nulls(len(languages), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), none.cast(pa.int32()), none, pa.array(n), none, none], names)
+
+    return texts.mapInArrow(count, COUNTS)
+
+
+def _spell_pass(pointed: DataFrame, longest: int, hash_bits: int, window: int) -> DataFrame:
+    """(lang, fingerprint, phrase, n_words, check): the text of the wanted runs, read where their pointers point. `pointed` has the texts and the
+    fingerprints wanted from each."""
+    names = ["lang", "fingerprint", "phrase", "n_words", "check"]
 
-    return texts.select("lang", "summary").mapInArrow(count, COUNTS)
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = np.unique(batch.column("wanted").flatten().to_numpy())
+            for words, languages, number in _read(batch, hash_bits, window):
+                for length in range(1, longest + 1):
+                    at = np.flatnonzero(words.whole(length))
+                    prints = words.fingerprints(length, at)
+                    held = np.isin(prints, wanted)
+                    at, prints, checks = at[held], prints[held], words.checks(length, at[held])
+                    # Runs of one fingerprint with unlike checks are all spelled, so that none hides behind another.
+                    _, first = np.unique(np.stack([prints, checks], 1), axis=0, return_index=True)
+                    at, prints, checks = at[first], prints[first], checks[first]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(languages, pa.string()).take(pa.array(number[words.owner[at]])), pa.array(prints),
+                        pa.array([words.spell(length, i) for i in at.tolist()], pa.string()), pa.array(np.full(len(at), length, np.int32)),
+                        pa.array(checks)], names)
+
+    return pointed.select("lang", "summary", "wanted").mapInArrow(spell, SPELLED)
 
 
 def _occurrence_pass(texts: DataFrame, longest: int, frequent: Filter, hash_bits: int, window: int) -> DataFrame:
-    """Counts of the runs that may be frequent, verified word by word within each task, with their text and a row that holds them."""
+    """Counts of the runs in the filter, told apart word by word within each task, with their text and a row that holds them."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,38 +339,51 @@ def frequent_phrases(
     their language, and `lang, total` words.
 
     A-Z are lower-cased, pieces end at `.,;:!?` and line ends, words at blanks and tabs; a phrase lies within one piece, and overlapping
-    occurrences all count. A null language is `und`, a null text empty. `seen_in` points to a row that holds the phrase: the
-    `xxhash64` of its id and text.
-
-    Prefix polynomials give every run of words its fingerprint. Single words, pairs, then longer runs are counted by fingerprint; a
-    run is only counted where its shorter runs may be frequent, by a filter of a fixed number of bits that never misses one. A last
-    pass counts the frequent ones again: a task adds runs up only where their words are the same, points to a row of each, and
-    spells it. The shuffle brings fingerprints together with their pointers and text, so that different phrases never count
-    together, however fingerprints collide, and only phrases that may be frequent become text.
+    occurrences all count. A null language is `und`, a null text empty. `seen_in` points to a row that holds the phrase: the upper
+    half of the `xxhash64` of its id and text.
+
+    Prefix polynomials give every run of words its fingerprint and a second hash, its check. Single words, pairs, then longer runs
+    are counted by fingerprint; a run is only counted where its shorter runs may be frequent, by a filter of a fixed number of bits
+    that never misses one. The shuffle brings fingerprints together with their counts, the sums of their checks and a pointer to an
+    occurrence. Only frequent ones are then looked up and spelled, and a phrase stands if the sum of the checks is its own check times
+    its count. Where it is not, different phrases met in one fingerprint: their texts are counted apart, word by word.
     """
     texts = content.select(
         F.coalesce(F.col(f"`{language}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text().alias("summary"),
-        F.xxhash64("content_id", text()).alias("row_key"))
+        F.shiftrightunsigned(F.xxhash64("content_id", text()), 32).alias("row_key"))
 
     def frequent(lengths: Sequence[int], shorter: Filter | None) -> DataFrame:
-        counted = _count_pass(texts, lengths, shorter, hash_bits, window).groupBy("lang", "fingerprint").agg(F.sum("n").alias("n"))
+        counted = _count_pass(texts, lengths, shorter, hash_bits, window).groupBy("lang", "n_words", "fingerprint").agg(
+            F.sum("n").alias("n"), F.sum("checks").alias("checks"), F.min("seen_in").alias("seen_in"))
         return materialize(counted.where((F.col("n") >= min_count) | F.col("fingerprint").isNull()), "frequent")
 
     single = frequent([1], None)
     totals = single.where("fingerprint is null and n > 0").select("lang", F.col("n").alias("total"))
-    tables = [single.where("fingerprint is not null").select("fingerprint")]
+    known = last = single.where("fingerprint is not null").drop("lang")
     for lengths in ([2], list(range(3, longest + 1))):
         if lengths and lengths[0] <= longest:
-            tables.append(frequent(lengths, _filter(tables[-1], filter_bits)).select("fingerprint"))
-    known = tables[0]
-    for table in tables[1:]:
-        known = known.unionByName(table)
-    phrases = (
-        _occurrence_pass(texts, longest, _filter(known, filter_bits), hash_bits, window)
-        .groupBy("lang", "fingerprint", "phrase", "n_words").agg(F.sum("n").alias("n"), F.min("seen_in").alias("seen_in"))
-        .where(F.col("n") >= min_count).drop("fingerprint")
-    )
-    return materialize(phrases, "phrases"), totals
+            last = frequent(lengths, _filter(last.select("fingerprint"), filter_bits)).drop("lang")
+            known = known.unionByName(last)
+    run = ["n_words", "fingerprint"]
+    # A text has no more fingerprints than runs of words, so the lists are bounded by the texts.
+    wanted = known.groupBy("seen_in").agg(F.collect_list("fingerprint").alias("wanted"))
+    pointed = texts.join(wanted, F.col("row_key") == F.col("seen_in")).dropDuplicates(["row_key", "summary", "lang"])
+    spelled = _spell_pass(pointed, longest, hash_bits, window).distinct().join(known, run).where(
+        F.col("checks") == F.col("check") * F.col("n"))
+    phrases = materialize(spelled.select("fingerprint", "lang", "phrase", "n_words", "n", "seen_in"), "phrases")
+    # Two phrases that fit one fingerprint are as undecided as none.
+    sure = phrases.groupBy(*run).agg(F.count("*").alias("fits")).where("fits = 1")
+    unsure = materialize(known.select(*run).join(sure, run, "left_anti"), "collisions")
+    out = phrases.join(sure, run, "left_semi").drop("fingerprint")
+    if not unsure.isEmpty():
+        apart = (
+            _occurrence_pass(texts, longest, _filter(unsure, filter_bits), hash_bits, window)
+            .join(unsure, run, "left_semi")
+            .groupBy("lang", "fingerprint", "phrase", "n_words").agg(F.sum("n").alias("n"), F.min("seen_in").alias("seen_in"))
+            .where(F.col("n") >= min_count).drop("fingerprint")
+        )
+        out = materialize(out.unionByName(apart.select(*out.columns)), "phrases")
+    return out, totals
 
 
 def mine_phrases(

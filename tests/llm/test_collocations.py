@@ -67,7 +67,7 @@ def found(df):
     return sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize("passes", [{}, {"hash_bits": 5, "window": 300, "filter_bits": 8}], ids=["usual", "collisions"])
+@pytest.mark.parametrize("passes", [{}, {"hash_bits": 5, "window": 300, "filter_bits": 8}, {"hash_bits": 11}], ids=["usual", "all collide", "some collide"])
 def test_phrases_equal_plain_counting(spark, passes):
     rows = texts(n=400)
     want = plain_phrases(rows, 8, top=30)
@@ -87,7 +87,8 @@ def test_frequent_phrases_are_exact(spark):
     table = frame(spark, rows)
     phrases, sums = collocations.frequent_phrases(table, min_count=10)
     found = phrases.collect()
-    pointed = {r.key: r.summary for r in table.select("summary", F.xxhash64("content_id", F.coalesce("summary", F.lit(""))).alias("key")).collect()}
+    key = F.shiftrightunsigned(F.xxhash64("content_id", F.coalesce("summary", F.lit(""))), 32)
+    pointed = {r.key: r.summary for r in table.select("summary", key.alias("key")).collect()}
     assert all((r.lang, tuple(r.phrase.split(" "))) in plain_counts([(pointed[r.seen_in], r.lang)])[0] for r in found)
     assert {(r.lang, r.phrase): (r.n_words, r.n) for r in found} == {
         (g, " ".join(w)): (len(w), n) for (g, w), n in counts.items() if n >= 10}
