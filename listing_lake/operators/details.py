@@ -59,9 +59,7 @@ def read_details(pages: DataFrame, now: datetime | Column, base: str = "url") ->
     part = F.when(src["product_text_sel"].isNull(), nodes).otherwise(
         let(text_root, lambda t: F.when(t.isNotNull(), N.below(nodes, t))))  # a hidden class of the panel itself hides nothing
     # Rules see the whole page: a root that is the page itself.
-    whole = F.struct(
-        F.lit(-1).alias("id"), (F.size(nodes) - 1).alias("last"), F.lit("").alias("path"),
-    )
+    whole = F.struct(F.lit(-1).alias("id"), (F.size(nodes) - 1).alias("last"))
     raw = pages.withColumn("_text", F.coalesce(N.visible_text(part), F.lit(""))).withColumn(
         "_selected", N.images_of(N.select_all(nodes, src["image_sel"]))
     ).withColumn("_head", head_images(nodes)).withColumn(
@@ -223,21 +221,19 @@ def figure_links(pages: DataFrame, figure_only: bool = True) -> DataFrame:
     sel = N.literal_selector(FIGURE_LINK_SELECTOR)
     name_sel = N.literal_selector(".name")
 
-    def one(n: Column) -> Column:
-        cards = F.filter(
-            F.transform(n["ancestors"], lambda i: N.node(nodes, i)),
-            lambda a: F.array_contains(F.split(F.coalesce(a["attrs"]["class"], F.lit("")), r"\s+"), FIGURE_CARD_CLASS),
-        )
-        card = F.try_element_at(cards, F.lit(-1))
+    cards = F.filter(nodes, lambda a: F.array_contains(F.split(F.coalesce(a["attrs"]["class"], F.lit("")), r"\s+"), FIGURE_CARD_CLASS))
+
+    def one(n: Column, cards: Column) -> Column:
+        card = F.try_element_at(F.filter(cards, lambda a: (a["id"] < n["id"]) & (a["last"] >= n["id"])), F.lit(-1))
         name = let(card, lambda c: F.try_element_at(N.select_in(nodes, c, name_sel), F.lit(1)))
         return F.struct(
             n["id"].alias("pos"), n["link"].alias("link"),
             F.coalesce(let(name, lambda n: squish(N.text_of(nodes, n))), F.lit("")).alias("list_title"),
         )
 
-    picked = F.filter(nodes, lambda n: flag(n["attrs"]["href"] != "") & N.matches(nodes, n, sel))
+    picked = F.filter(nodes, lambda n: flag(n["attrs"]["href"] != "") & N.matches(n, sel))
     out = (
-        pages.select("source", "page_no", F.explode(F.transform(picked, one)).alias("_l"))
+        pages.select("source", "page_no", F.explode(let(cards, lambda c: F.transform(picked, lambda n: one(n, c)))).alias("_l"))
         .select("source", "page_no", F.col("_l.pos").alias("pos"), urls.normalize_url(F.col("_l.link")).alias("url"),
                 F.col("_l.list_title").alias("list_title"))
         .filter(F.col("url").rlike(FIGURE_LINK))

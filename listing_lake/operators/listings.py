@@ -102,7 +102,7 @@ def with_links(pages: DataFrame) -> DataFrame:
     """
     nodes, src = F.col("nodes"), F.col("src")
     sel = F.coalesce(src["link_sel"], N.literal_selector(DEFAULT_LINK_SELECTOR))
-    is_link = lambda n: flag(n["attrs"]["href"] != "") & n["link"].isNotNull() & N.matches(nodes, n, sel)
+    is_link = lambda n: flag(n["attrs"]["href"] != "") & n["link"].isNotNull() & N.matches(n, sel)
     links = F.transform(
         F.filter(nodes, is_link),
         lambda n: F.struct(n["id"].alias("id"), F.split_part(n["link"], F.lit("#"), F.lit(1)).alias("key")),
@@ -110,15 +110,15 @@ def with_links(pages: DataFrame) -> DataFrame:
     wants_card = src["list_image_sel"].isNotNull() | flag(src["list_product_mode"])
     # Rules for details alone list nothing.
     by_link = src["list_item_sel"].isNull() & ~flag(F.size(src["detail_rules"]) > 0)
-    found = pages.withColumn("_links", F.when(by_link, links))
+    found = pages.withColumn("_links", F.when(by_link, links)).withColumn("_gaps", N.with_gaps(F.col("_links"), F.size(nodes)))
     keyed = F.transform(
-        F.col("_links"),
+        F.col("_gaps"),
         lambda k: F.struct(
             k["id"].alias("id"), k["key"].alias("key"),
-            F.when(wants_card, N.card_of(nodes, F.col("_links"), k)).alias("card"),
+            F.when(wants_card, N.card_of(nodes, k)).alias("card"),
         ),
     )
-    return found.withColumn("links", keyed).drop("_links")
+    return found.withColumn("links", keyed).drop("_links", "_gaps")
 
 
 def raw_listings(pages: DataFrame) -> DataFrame:

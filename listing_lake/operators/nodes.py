@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
-from listing_lake.functions.text import blank_to_null, found, let, strip
+from listing_lake.functions.text import blank_to_null, let, strip
 from listing_lake.functions.urls import LAZY_ATTRS
+from listing_lake.operators.selectors import parse
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 HIDDEN_CLASS_HINTS = ("displaynone", "d-none", "hidden", "hide", "invisible")
@@ -19,145 +18,38 @@ HEAD_IMAGE_SELECTORS = (
 # ------------------------------------------------------------------------------------------------
 
 # --- selectors ----------------------------------------------------------------------------------
-# A selector becomes data: a regular expression over the node's path plus the few tests a path cannot tell.
-SELECTOR = "array<struct<path:string,scoped:boolean,inside:array<string>,outside:array<string>,words:array<string>>>"
-_PIECE = re.compile(
-    r"""(?P<tag>[A-Za-z][\w-]*|\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
-    r"""|\[(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^*$~]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]]*)))?\s*\]"""
-    r"""|:(?P<fn>not|has|-soup-contains)\(|(?P<scope>:scope)"""
+# A selector is data: the alternatives it names. The page reader matches them all, so one plan serves any number of sources.
+SELECTOR = "array<struct<css:string,scoped:boolean,direct:boolean>>"
+# What the library itself asks of pages.
+FIXED_SELECTORS = (
+    *HEAD_IMAGE_SELECTORS, "a[href]", "img", "h1", "h2", ".product_name", ".prd_name", ".goods_name", ".item_name", ".name",
+    'a[href*="/shop/detail.php"]', 'a[href*="detail.php"]',
 )
-# Any steps in between: a step ends by ">" and the next begins by "<", and values hold neither. A run of single characters is
-# matched in a loop, however deep the page is nested.
-_STEP = "(?s:.*)"
-
-
-def _escape(value: str) -> str:
-    value = value.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;").replace(">", "&gt;")
-    return re.sub(r"([^\w\s가-힣])", r"\\\1", value)
-
-
-def _split_top(text: str, pattern: str) -> list[str]:
-    """Split outside of brackets, parentheses and quotes."""
-    out, depth, quote, current = [], 0, "", ""
-    for ch in text:
-        if quote:
-            quote = "" if ch == quote else quote
-        elif ch in "\"'":
-            quote = ch
-        elif ch in "([":
-            depth += 1
-        elif ch in ")]":
-            depth -= 1
-        if not depth and not quote and re.fullmatch(pattern, ch):
-            out.append(current)
-            current = ""
-        else:
-            current += ch
-    return [*out, current]
-
-
-def _attr_test(name: str, op: str | None, value: str) -> str:
-    if name == "class" and op in ("=", "~="):
-        inner = f"{_escape(value)} " if op == "=" else f'[^"]*{" " + _escape(value)} '
-        return f' class="{" " + inner if op == "=" else inner}'
-    if name == "class" and op in ("^=", "$="):  # stored with a blank on either side
-        return f' class=" {_escape(value)}' if op == "^=" else f' class="[^"]*{_escape(value)} "'
-    tests = {None: "", "=": _escape(value) + '"', "^=": _escape(value), "*=": '[^"]*' + _escape(value),
-             "$=": '[^"]*' + _escape(value) + '"', "~=": '(?:[^"]* )?' + _escape(value) + '[ "]'}
-    return f' {_escape(name)}="' + tests[op]
-
-
-def _compound(text: str, extra: dict) -> str:
-    """Regular expression of one compound such as `a.name[href^="/x"]`."""
-    tag, tests, at = "[^ >]+", "", 0
-    while at < len(text):
-        m = _PIECE.match(text, at)
-        if not m:
-            raise ValueError(f"unsupported selector: {text}")
-        at = m.end()
-        if m["fn"]:
-            depth, end = 1, at
-            while depth and end < len(text):
-                depth += {"(": 1, ")": -1}.get(text[end], 0)
-                end += 1
-            argument, at = text[at:end - 1].strip(), end
-            if m["fn"] == "not" and not re.search(r"[\s>]", argument):
-                tests += f"(?!{_compound(argument, extra)[1:]})"
-            elif m["fn"] == "not":
-                extra["outside"].append(_chain(argument, extra) + "$")
-            elif m["fn"] == "has":
-                extra["inside"].append(("^" if argument.startswith(">") else "") + _chain(argument, extra) + "$")
-            else:
-                extra["words"].append(argument.strip("\"'"))
-        elif m["tag"]:
-            tag = tag if m["tag"] == "*" else _escape(m["tag"].lower())
-        elif m["id"]:
-            tests += f'(?=[^>]* id="{_escape(m["id"])}")'
-        elif m["cls"]:
-            tests += f'(?=[^>]* class="[^"]* {_escape(m["cls"])} )'
-        elif m["attr"]:
-            value = next((m[k] for k in ("dq", "sq", "bare") if m[k] is not None), "")
-            tests += f"(?=[^>]*{_attr_test(m['attr'], m['op'], value)})"
-    return f"<{tests}{tag}(?=[ >])[^>]*>"
-
-
-def _chain(text: str, extra: dict) -> str:
-    pieces = [p for p in _split_top(re.sub(r"\s*>\s*", " > ", text.strip()), r"\s") if p]
-    out, child = "", True
-    for nth, piece in enumerate(pieces):
-        if piece == ">":
-            child = True
-            continue
-        if piece in ("+", "~"):
-            raise ValueError(f"unsupported selector: {text}")
-        own = extra if nth == len(pieces) - 1 else {"inside": [], "outside": [], "words": []}
-        out += ("" if child else _STEP) + _compound(piece, own)
-        if own is not extra and any(own.values()):
-            raise ValueError(f"test of an ancestor's content is not supported: {text}")
-        child = False
-    return out
 
 
 def selector(css: str | None) -> list[dict] | None:
     """A configured CSS selector as rows of `SELECTOR`; null stays null."""
-    if not css:
-        return None
-    rows = []
-    for part in _split_top(css, ","):
-        part = part.strip()
-        scoped = part.startswith(":scope")
-        extra = {"inside": [], "outside": [], "words": []}
-        if scoped:
-            rest = part[len(":scope"):].strip()
-            direct = rest.startswith(">")
-            path = "^" + ("" if direct else _STEP) + _chain(rest.lstrip("> "), extra) + "$"
-        else:
-            path = _chain(part, extra) + "$"
-        rows.append({"path": path, "scoped": scoped, **extra})
-    return rows
+    return parse(css) if css else None
 
 
 def literal_selector(css: str) -> Column:
-    """A selector as a constant column."""
-    def strings(values: list[str]) -> Column:
-        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-    return F.array(*[
-        F.struct(
-            F.lit(r["path"]).alias("path"), F.lit(r["scoped"]).alias("scoped"), strings(r["inside"]).alias("inside"),
-            strings(r["outside"]).alias("outside"), strings(r["words"]).alias("words"),
-        ) for r in selector(css)
-    ])
+    """A selector as a constant column. The pages must have been read with it, see `shred_pages`."""
+    return F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in row.items()]) for row in selector(css)])
 
 
 # --- subtrees and text --------------------------------------------------------------------------
+def span(nodes: Column, first: Column, last: Column) -> Column:
+    """Elements `first` to `last` of an array, in time of what is taken: a slice inside a lambda copies the whole array first."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(nodes, i))
+
+
 def subtree(nodes: Column, n: Column) -> Column:
     """The node and everything below it."""
-    return F.slice(nodes, n["id"] + 1, n["last"] - n["id"] + 1)
+    return span(nodes, n["id"], n["last"])
 
 
 def below(nodes: Column, n: Column) -> Column:
-    return F.slice(nodes, n["id"] + 2, n["last"] - n["id"])
+    return F.slice(span(nodes, n["id"], n["last"]), 2, n["last"] - n["id"])
 
 
 def node(nodes: Column, node_id: Column) -> Column:
@@ -175,50 +67,33 @@ def text_of(nodes: Column, n: Column, sep: str = " ") -> Column:
 
 
 def visible_text(part: Column, sep: str = "\n") -> Column:
-    """Text of a slice without subtrees hidden by class or style."""
-    def hidden(x: Column) -> Column:
-        style = F.replace(F.lower(x["attrs"]["style"]), F.lit(" "), F.lit(""))
-        by_class = F.lower(x["attrs"]["class"]).rlike("|".join(HIDDEN_CLASS_HINTS))
-        return F.coalesce(by_class, F.lit(False)) | F.coalesce(F.contains(style, F.lit("display:none")), F.lit(False))
-
+    """Text of a slice without subtrees hidden by class or style; what hides the slice as a whole from outside does not count."""
     def shown(nodes: Column) -> Column:
-        gone = F.transform(F.filter(nodes, hidden), lambda x: x["id"])
-        # arrays_overlap with an empty array is false, so a page without hidden nodes keeps all text.
-        return let(gone, lambda ids: F.filter(
-            nodes, lambda x: (x["tag"] == "#text") & ~F.arrays_overlap(x["ancestors"], ids)))
+        first = F.try_element_at(nodes, F.lit(1))["id"]
+        return F.filter(nodes, lambda x: (x["tag"] == "#text") & (x["veil"] < first))
 
     return F.array_join(F.transform(let(part, shown), lambda x: x["text"]), sep)
 
 
-def matches(nodes: Column, n: Column, sel: Column, root: Column | None = None) -> Column:
-    """Whether element `n` matches any alternative of `sel`; `:scope` means `root`."""
-    root_length = F.length(root["path"]) if root is not None else F.lit(0)
+def matches(n: Column, sel: Column, root: Column | None = None) -> Column:
+    """Whether element `n` matches any alternative of `sel`; `:scope` means `root`, else the page."""
+    scope = root["id"] if root is not None else F.lit(-1)
 
     def one(alt: Column) -> Column:
-        path = F.when(alt["scoped"], F.substring(n["path"], root_length + 1, F.length(n["path"]))).otherwise(n["path"])
-        own = F.length(n["path"])
-        return (
-            found(path, alt["path"])
-            & (
-                (F.size(alt["inside"]) == 0)
-                | F.forall(alt["inside"], lambda p: F.exists(
-                    below(nodes, n), lambda d: found(F.substring(d["path"], own + 1, F.length(d["path"])), p)))
-            )
-            & ((F.size(alt["outside"]) == 0) | ~F.exists(alt["outside"], lambda p: found(n["path"], p)))
-            & ((F.size(alt["words"]) == 0) | F.forall(alt["words"], lambda w: F.contains(text_of(nodes, n, ""), w)))
-        )
-
-    return (n["path"] != "") & F.exists(sel, one)
+        return F.exists(n["hits"], lambda hit: (hit["css"] == alt["css"]) & (
+            ~alt["scoped"] | F.when(alt["direct"], F.array_contains(hit["at"], scope)).otherwise(hit["at"][0] > scope)))
+
+    return n["hits"].isNotNull() & F.exists(sel, one)
 
 
 def select_in(nodes: Column, root: Column, sel: Column) -> Column:
     """Elements below `root` that match, in document order."""
-    return F.filter(below(nodes, root), lambda n: matches(nodes, n, sel, root))
+    return F.filter(below(nodes, root), lambda n: matches(n, sel, root))
 
 
 def select_all(nodes: Column, sel: Column) -> Column:
     """Elements of the whole page that match, in document order."""
-    return F.filter(nodes, lambda n: matches(nodes, n, sel))
+    return F.filter(nodes, lambda n: matches(n, sel))
 
 
 # --- images -------------------------------------------------------------------------------------
@@ -238,23 +113,35 @@ def images_of(selected: Column) -> Column:
 
 
 # --- cards --------------------------------------------------------------------------------------
-def card_of(nodes: Column, links: Column, link: Column) -> Column:
+def with_gaps(links: Column, size: Column) -> Column:
+    """Links, structs (id, key) in document order, with `low` and `high`: the ids of the nearest links with another key on either side.
+
+    Neighbours of one key form a run and share both, so one pass over the runs does for all.
+    """
+    def begins(ks: Column) -> Column:
+        other = lambda i: (i == 0) | (F.get(ks, i)["key"] != F.get(ks, i - 1)["key"])
+        return F.when(F.size(ks) > 0, F.filter(F.sequence(F.lit(0), F.size(ks) - 1), other)).otherwise(F.array().cast("array<int>"))
+
+    def run(ks: Column, starts: Column) -> Column:
+        def links_of(begin: Column, nth: Column) -> Column:
+            end = F.coalesce(F.get(starts, nth + 1), F.size(ks))
+            low = F.coalesce(F.get(ks, begin - 1)["id"], F.lit(-1))
+            high = F.coalesce(F.get(ks, end)["id"], size)
+            return F.transform(span(ks, begin, end - 1), lambda k: F.struct(
+                k["id"].alias("id"), k["key"].alias("key"), low.alias("low"), high.alias("high")))
+
+        return F.flatten(F.transform(starts, links_of))
+
+    # Both are named once, so that an optimiser that writes a column out in place does not compute it once per link.
+    return let(links, lambda ks: let(begins(ks), lambda starts: run(ks, starts)))
+
+
+def card_of(nodes: Column, link: Column) -> Column:
     """Id of the widest of 8 ancestors that holds no other item's link.
 
-    `links` are structs (id, key). An ancestor holds another item exactly when its range reaches the nearest
-    link with a different key on either side.
+    `link` comes from `with_gaps`. An ancestor holds another item exactly when its range reaches the nearest link with a
+    different key on either side.
     """
-    others = F.filter(links, lambda o: o["key"] != link["key"])
-    before = lambda rest: F.coalesce(F.array_max(F.transform(
-        F.filter(rest, lambda o: o["id"] < link["id"]), lambda o: o["id"])), F.lit(-1))
-    after = lambda rest: F.coalesce(F.array_min(F.transform(
-        F.filter(rest, lambda o: o["id"] > link["id"]), lambda o: o["id"])), F.size(nodes))
-    gap = let(others, lambda rest: F.struct(before(rest).alias("low"), after(rest).alias("high")))
-    near = F.transform(
-        F.slice(F.reverse(node(nodes, link["id"])["ancestors"]), 1, MAX_CARD_DEPTH), lambda i: node(nodes, i))
-
-    def widest(g: Column) -> Column:
-        fits = F.filter(near, lambda a: ~a["tag"].isin("body", "html") & (g["low"] < a["id"]) & (g["high"] > a["last"]))
-        return F.try_element_at(fits, F.lit(-1))["id"]
-
-    return let(gap, widest)
+    near = F.transform(node(nodes, link["id"])["near"], lambda i: node(nodes, i))
+    fits = F.filter(near, lambda a: ~a["tag"].isin("body", "html") & (link["low"] < a["id"]) & (link["high"] > a["last"]))
+    return F.try_element_at(fits, F.lit(-1))["id"]

@@ -103,12 +103,35 @@ def page_text(spark, sf):
     nodes = F.col("nodes")
     body = F.try_element_at(N.select_all(nodes, N.literal_selector("body")), F.lit(1))
     head = F.try_element_at(N.select_all(nodes, N.literal_selector("article > h1")), F.lit(1))
-    shredded = shred_pages(table(spark, sf, "pages").select("page_id", "url", "html"))
+    shredded = shred_pages(table(spark, sf, "pages").select("page_id", "url", "html"), selectors=("body", "article > h1"))
     return shredded.select(
         "page_id", F.sha2(N.visible_text(N.subtree(nodes, body), " "), 256).alias("digest"),
         F.length(N.text_of(nodes, head)).cast("bigint").alias("n_title"))
 
 
+FORMS = {
+    "nav:has(a) > ul > li": "len(regexp_extract_all(html, '<li>'))",
+    'ul:has(a[href*="e"]) > li': "CASE WHEN regexp_matches(html, '<a href=\"[^\"]*e') THEN len(regexp_extract_all(html, '<li>')) ELSE 0 END",
+    "li:not(:has(b)), li:has(b)": "len(regexp_extract_all(html, '<li>'))",
+    'a[href^="/t"]': "len(regexp_extract_all(html, '<a href=\"/t'))",
+    "html > body div.ad": "len(regexp_extract_all(html, '<div class=\"ad\">'))",
+    'body:has(nav) > div.ad:-soup-contains("au")':
+        "CASE WHEN contains(regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1), 'au') THEN 1 ELSE 0 END",
+    "head:has(> title) > meta[charset]": "1",
+    "body > li, nav > li": "0",
+}
+
+
+@query("selector_forms", " UNION ALL ".join(
+    f"SELECT page_id, {nth} AS form, CAST({sql} AS BIGINT) AS picked FROM pages" for nth, sql in enumerate(FORMS.values())))
+def selector_forms(spark, sf):
+    """How many elements each form of selector picks on every page."""
+    nodes = F.col("nodes")
+    picked = F.array(*[F.size(N.select_all(nodes, N.literal_selector(css))).cast("bigint") for css in FORMS])
+    shredded = shred_pages(table(spark, sf, "pages").select("page_id", "url", "html"), selectors=tuple(FORMS))
+    return shredded.select("page_id", F.posexplode(picked).alias("form", "picked"))
+
+
 LINKS_SQL = f"""
 raw AS (SELECT page_id, url, {HOST_SQL} AS source, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hs,
  regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS ts FROM pages),
@@ -121,7 +144,7 @@ links AS (SELECT page_id, source, k, {norm_sql("link")} AS url, title FROM l)"""
 def _links(spark, sf):
     """(page_id, source, k, url, title) of every link, k in document order."""
     nodes = F.col("nodes")
-    found = F.filter(nodes, lambda n: N.matches(nodes, n, N.literal_selector("a[href]")) & n["link"].isNotNull())
+    found = F.filter(nodes, lambda n: N.matches(n, N.literal_selector("a[href]")) & n["link"].isNotNull())
     rows = shred_pages(_pages(spark, sf)).select("page_id", "source", F.posexplode(F.transform(
         found, lambda n: F.struct(n["link"].alias("link"), N.text_of(nodes, n).alias("text")))).alias("i", "l"))
     return rows.select(

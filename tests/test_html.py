@@ -1,10 +1,11 @@
-import re
+import random
+import time
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
-from listing_lake.operators import details, listings, nodes as N
+from listing_lake.operators import details, listings, nodes as N, selectors, shred
 from listing_lake.operators.shred import elements, shred_pages
 from listing_lake.sources import dims, intake, pages as P, payloads
 
@@ -12,10 +13,10 @@ NOW = datetime(2026, 1, 1, tzinfo=timezone.utc)
 BASE = "https://shop.example.com/list"
 
 
-def shredded(spark, html, url=BASE, config=None):
+def shredded(spark, html, url=BASE, config=None, selectors=()):
     config = {"name": "s", "type": "html", "url": url} | (config or {})
     df = spark.createDataFrame([("s", 1, url, html)], "source string, page_no int, url string, html string")
-    return shred_pages(dims.with_source(df, dims.sources_table(spark, [config])))
+    return shred_pages(dims.with_source(df, dims.sources_table(spark, [config])), selectors=selectors)
 
 
 def listed(spark, html, config, url=BASE):
@@ -33,7 +34,7 @@ def test_shred(spark):
                     "a", "#text", "p", "#text"]
     assert [r.text for r in rows if r.text] == ["one", "two", "three", "var x = 1;", "A & B", "C", "d"]
     by_id = {r.node_id: r for r in rows}
-    assert all(r.parent_id is None or by_id[r.parent_id].node_id in r.ancestors for r in rows)
+    assert all(r.parent_id is None or by_id[r.parent_id].node_id < r.node_id <= r.last_id <= by_id[r.parent_id].last_id for r in rows)
     assert by_id[13].attrs == {"href": '/p/1?x="&'}
 
 
@@ -42,11 +43,14 @@ SELECTORS = [
     ('a[href^="/p/"]', [13]), ('a[href*="p/2"]', [16]), ("a[href]", [13, 16]), ("li:has(p)", [15]), ("li:has(> p), b", [5, 15]),
     ('li:-soup-contains("A & B")', [12]), ("img, p b", [5, 8]), ("li a:not(.sold a)", [13]), ('a[href="/p/1?x=\\"&"]', None), ("*.item", [12, 15]),
     (".a", [2]), ('div[class~="b"]', [2]), ("div p b", [5]), ("l", []), (".ite", []),
+    ("ul:has(b) > li", []), ("div:has(b) > ul > li:not(.sold)", [12]), ('div:-soup-contains("onetwo") > p', [3]), ("div:has(> ul:has(p)) a", [13, 16]),
+    ('[class="a b"] > ul', [11]), ('[class^="ite"][class$="ld"]', [15]), ("li:has(a:not([href^='/']))", [15]), ("li:not(:has(p))", [12]),
+    ("li:has(p, b)", [15]), ("body *:not(div *)", [2]), (":scope > html > body", [1]), (":scope li > p", [18]),
 ]
 
 
 def test_selectors(spark):
-    page = shredded(spark, HTML)
+    page = shredded(spark, HTML, selectors=[css for css, want in SELECTORS if want is not None])
     cases = [(css, want) for css, want in SELECTORS if want is not None]
     found = page.select(*[
         F.transform(N.select_all(F.col("nodes"), N.literal_selector(css)), lambda n: n["id"]).alias(f"c{i}") for i, (css, _) in enumerate(cases)
@@ -269,13 +273,153 @@ def test_rendered_cards(spark):
         "https://shop.example.com/products/1", "피규어 상품 이름", 12000, "PREORDER", "https://shop.example.com/ok.jpg")
 
 
-def test_selector_paths():
-    hit = lambda css, path, part="path": bool(re.search(
-        N.selector(css)[0]["path"] if part == "path" else N.selector(css)[0][part][0], path))
-    card = '<div><p class=" card wide ">'
-    assert hit('[class^="car"]', card) and hit('[class$="ide"]', card) and hit("div p", card) and hit("div > p", card)
-    assert not hit('[class^="wide"]', card) and not hit('[class$="card"]', card) and not hit("p > p", card)
-    assert hit("div p", "<div>" + "<b>" * 50_000 + "<p>") and not hit("div p", "<div>" + "<b>" * 50_000)
-    assert hit("li:has(> p)", "<p>", "inside") and not hit("li:has(> p)", "<b><p>", "inside") and hit("li:has(p)", "<b><p>", "inside")
-    with pytest.raises(ValueError):
-        N.selector("ul:has(b) > li")
+def parsed(html, *css):
+    """Nodes of a page, with the ids each selector picks."""
+    parts = tuple(dict.fromkeys(row["css"] for c in css for row in selectors.parse(c)))
+    nodes = shred._page_nodes(html, BASE, parts)
+    return nodes, {part: [n["id"] for n in nodes for hit in n["hits"] or [] if hit["css"] == part] for part in parts}
+
+
+def test_unsupported_selectors_are_refused():
+    for css in ("a + b", "li ~ p", "a >", "> ", ":hover", "a:has(b:not(c d))", "a b:scope"):
+        with pytest.raises(ValueError):
+            selectors.parse(css)
+
+
+class Plain:
+    """Selectors by walking the tree anew for every question."""
+
+    def __init__(self, nodes):
+        self.nodes = nodes
+
+    def above(self, i):
+        while self.nodes[i]["parent"] is not None:
+            i = self.nodes[i]["parent"]
+            yield i
+
+    def below(self, i):
+        return [n["id"] for n in self.nodes[i + 1:self.nodes[i]["last"] + 1] if n["text"] is None]
+
+    def simple(self, i, compound):
+        tag, classes, function, argument = compound
+        node = self.nodes[i]
+        if node["text"] is not None or tag not in ("*", node["tag"]) or not set(classes) <= set((dict(node["attrs"]).get("class") or "").split()):
+            return False
+        if function == "has":
+            return any(self.chain(d, argument, i) for d in self.below(i))
+        if function == "not":
+            return not self.chain(i, argument, None)
+        if function == "words":
+            return argument in "".join(n["text"] for n in self.nodes[i:node["last"] + 1] if n["tag"] == "#text")
+        return True
+
+    def chain(self, i, steps, anchor):
+        """`steps`: (child, compound) from outermost to innermost. With an anchor the chain lies below it."""
+        (child, compound), outer = steps[-1], steps[:-1]
+        if not self.simple(i, compound):
+            return False
+        ups = list(self.above(i))
+        if not outer:
+            return anchor is None or (anchor == -1 and (not child or not ups)) or (ups[:1] == [anchor] if child else anchor in ups)
+        return any(self.chain(u, outer, anchor) for u in (ups[:1] if child else ups) if anchor is None or anchor == -1 or u > anchor)
+
+
+def spelled(steps, scoped=False):
+    out = []
+    for nth, (child, (tag, classes, function, argument)) in enumerate(steps):
+        text = tag + "".join(f".{c}" for c in classes)
+        if function == "words":
+            text += f':-soup-contains("{argument}")'
+        elif function:
+            text += f":{function}({spelled(argument)})"
+        out.append(("> " if child and (nth or scoped or argument_like(steps)) else "") + text)
+    return " ".join(out)
+
+
+def argument_like(steps):
+    return steps[0][0]
+
+
+def test_selectors_agree_with_walking_the_tree():
+    pick = random.Random(11)
+    tags, classes = ["div", "p", "ul", "li", "b"], ["x", "y"]
+
+    def page(depth=0):
+        out = ""
+        for _ in range(pick.randrange(1, 4)):
+            tag = pick.choice(tags)
+            inner = page(depth + 1) if depth < 4 and pick.random() < 0.7 else ""
+            names = " ".join(c for c in classes if pick.random() < 0.4)
+            out += f'<{tag} class="{names}">{pick.choice(["", "figure", "sale"])}{inner}</{tag}>{pick.choice(["", "fig"])}'
+        return out
+
+    def compound(level, inside):
+        kinds = [None, None, "words"] + (["has", "not"] if level < 2 else [])
+        function = pick.choice(kinds)
+        argument = "figure" if function == "words" else steps(level + 1, function == "has" or inside, function == "not") if function else None
+        return pick.choice([*tags, "*"]), [c for c in classes if pick.random() < 0.2], function, argument
+
+    def steps(level=0, inside=False, negated=False):
+        n = 1 if negated and inside else pick.randrange(1, 3 if level else 4)
+        return [(pick.random() < 0.4 and (i > 0 or (inside and not negated)), compound(level, inside)) for i in range(n)]
+
+    checked = hits = 0
+    for _ in range(60):
+        html, asked = page(), [steps() for _ in range(12)]
+        nodes, got = parsed(html, *[spelled(s) for s in asked])
+        plain = Plain(nodes)
+        for s in asked:
+            want = [n["id"] for n in nodes if plain.chain(n["id"], s, None)]
+            assert got[spelled(s)] == want, (spelled(s), html)
+            checked, hits = checked + 1, hits + len(want)
+        for s in asked[:4]:
+            direct = pick.random() < 0.5
+            scoped = [(direct, s[0][1]), *s[1:]]
+            css = ":scope " + spelled(scoped, scoped=True)
+            found, _ = parsed(html, css)
+            for root in [-1, *[n["id"] for n in nodes if n["text"] is None]][:12]:
+                inside = range(len(nodes)) if root == -1 else plain.below(root)
+                want = [i for i in inside if nodes[i]["text"] is None and plain.chain(i, scoped, root)]
+                at = {n["id"]: hit["at"] for n in found for hit in n["hits"] or []}
+                assert [i for i in inside if i in at and (root in at[i] if direct else at[i][0] > root)] == want, (css, root, html)
+    assert checked == 720 and hits > 500
+
+
+def test_deep_and_wide_pages_take_linear_time_and_memory(spark):
+    deep = '<div class="a b">' * 10_000 + "<p>end</p>"
+    wide = "".join(f'<li><a href="/p/{i}">item {i}</a><a href="/p/{i}">again</a></li>' for i in range(10_000))
+
+    def seconds(html, *css):
+        start = time.perf_counter()
+        nodes, found = parsed(html, *css)
+        return time.perf_counter() - start, nodes, found
+
+    asked = ("div.a div p", "div:has(p) > p", 'div:-soup-contains("end") > div.b', ":scope > div > p", "div:not(ul div):has(> p)", "li:has(a) > a")
+    took, nodes, found = seconds(deep, *asked)
+    half, _, _ = seconds(deep[:len('<div class="a b">') * 5_000] + "<p>end</p>", *asked)
+    assert [len(found[c]) for c in asked] == [1, 1, 9_999, 1, 1, 0] and sum(len(n["near"]) for n in nodes) <= 8 * len(nodes)
+    assert took < 4 * half + 1
+    # Through Spark: ten thousand links on one page, each with its card.
+    rows = shredded(spark, f"<ul>{wide}</ul>", config={"link_selector": "li > a", "list_product_mode": True})
+    found = listings.with_links(rows).select(F.explode("links").alias("l")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("l.card").isNotNull()).alias("cards"), F.countDistinct("l.card").alias("distinct")).first()
+    assert (found.n, found.cards, found.distinct) == (20_000, 20_000, 10_000)
+
+
+def test_nearest_other_links(spark):
+    keys = "aabbbcaad"
+    links = [(i * 2, k) for i, k in enumerate(keys)]
+    df = spark.createDataFrame([(links,), ([],), (links[:1],)], "links array<struct<id:int,key:string>>")
+    got = df.select(N.with_gaps(F.col("links"), F.lit(99)).alias("g")).collect()
+    want = []
+    for i, k in enumerate(keys):
+        low = max((j * 2 for j in range(i) if keys[j] != k), default=-1)
+        high = min((j * 2 for j in range(i + 1, len(keys)) if keys[j] != k), default=99)
+        want.append((i * 2, k, low, high))
+    assert [tuple(x) for x in got[0].g] == want and got[1].g == [] and [tuple(x) for x in got[2].g] == [(0, "a", -1, 99)]
+
+
+def test_batches_of_pages_are_bounded_by_bytes():
+    big = shred.BATCH_BYTES
+    assert list(shred._slices([1, big, big + 5, 1, 1])) == [(0, 1), (1, 1), (2, 1), (3, 2)]
+    assert list(shred._slices([])) == [] and [n for _, n in shred._slices([0] * 130)] == [64, 64, 2]
