@@ -47,29 +47,35 @@ def stored_gallery(gallery: Column, main: Column) -> Column:
     return F.array_remove(F.array_distinct(clean), F.coalesce(main, F.lit("")))
 
 
+def prepared(candidates: DataFrame) -> DataFrame:
+    """Candidates with clean photo links, `url_norm` (null for a link that no document can have) and `_upd`: may the row update one?"""
+    image = urls.http_url(F.col("imageUrl")) if "imageUrl" in candidates.columns else F.lit(None).cast("string")
+    rows = candidates.withColumn("imageUrl", image)
+    if "detailImageUrls" in candidates.columns:
+        rows = rows.withColumn("detailImageUrls", stored_gallery(F.col("detailImageUrls"), F.col("imageUrl")))
+    # A row that carries any product field may update an existing document.
+    has_update = F.lit(False)
+    for f in PRODUCT_FIELDS:
+        if f in rows.columns:
+            has_update = has_update | F.col(f).isNotNull()
+    return rows.withColumn("url_norm", urls.normalize_url(F.col("url"))).withColumn("_upd", has_update)
+
+
 def stage(candidates: DataFrame, seq: list[str]) -> DataFrame:
     """One row per URL: the first row's own values, and every product field's last non-null value.
 
     `seq` columns give the order of arrival. Copies of a URL collapse before the shuffle.
     """
-    image = urls.http_url(F.col("imageUrl")) if "imageUrl" in candidates.columns else F.lit(None).cast("string")
-    rows = candidates.withColumn("imageUrl", image)
-    if "detailImageUrls" in candidates.columns:
-        rows = rows.withColumn("detailImageUrls", stored_gallery(F.col("detailImageUrls"), F.col("imageUrl")))
-    rows = rows.withColumn("url_norm", urls.normalize_url(F.col("url"))).filter(F.col("url_norm").isNotNull())
+    rows = prepared(candidates).filter(F.col("url_norm").isNotNull())
     order = F.struct(*seq)
     have = set(rows.columns)
     base = [c for c in CONTENT if c in have and c not in PRODUCT_FIELDS and c != "url"]
-    # A row that carries any product field may update an existing document.
     carried = [f for f in PRODUCT_FIELDS if f in have]
-    has_update = F.lit(False)
-    for f in carried:
-        has_update = has_update | F.col(f).isNotNull()
     latest = [
         F.max_by(F.when(F.col(f).isNotNull(), F.struct(F.col(f).alias("v"))), F.when(F.col(f).isNotNull(), order)).alias(f"_{f}")
         for f in carried
     ]
-    staged = rows.withColumn("_upd", has_update).groupBy("url_norm").agg(
+    staged = rows.groupBy("url_norm").agg(
         F.min_by(F.struct(*base, F.col("_upd")), order).alias("_base"),
         *latest,
         F.count(F.lit(1)).alias("n_rows"),

@@ -35,15 +35,24 @@ def add_details(candidates: DataFrame, detail_pages: DataFrame, sources: DataFra
     return details.apply_details(dims.with_source(candidates, sources), read, now).drop("src")
 
 
-def read_feeds(documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """Feed documents (source, page_no, url, body) to first-seen, limited candidates."""
-    entries = payloads.read_feed_xml(documents)
+def limit_first_seen(entries: DataFrame, pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """The first row of every URL of a source, up to the source's limit; no page ends the reading."""
     limits = entries.join(sources.select(F.col("name").alias("source"), F.coalesce("max_items", F.lit(50)).alias("_limit")), "source")
     first = dedupe.first_seen(limits, ["source", "url"], ["page_no", "pos"])
-    per_page = dedupe.new_per_page(first, documents.select("source", "page_no"))
+    per_page = dedupe.new_per_page(first, pages.select("source", "page_no"))
     return dedupe.rank_in_source(first, per_page).filter(F.col("listed_rank") <= F.col("_limit")).drop("_limit")
 
 
+def limit_feeds(parsed: DataFrame, sources: DataFrame) -> DataFrame:
+    """Parsed feeds to first-seen, limited candidates."""
+    return limit_first_seen(payloads.feed_entries(parsed), parsed, sources)
+
+
+def read_feeds(documents: DataFrame, sources: DataFrame) -> DataFrame:
+    """Feed documents (source, page_no, url, body) to first-seen, limited candidates."""
+    return limit_feeds(payloads.parse_feeds(documents), sources)
+
+
 def read_api(payload_rows: DataFrame, sources: DataFrame) -> DataFrame:
     """API payloads (source, page_no, url, body) to limited candidates; nothing is deduplicated."""
     rows = dims.with_source(payload_rows, sources).withColumn("api", F.col("src.api")).withColumn(

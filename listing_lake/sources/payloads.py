@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listing_lake.functions import urls
-from listing_lake.functions.text import blank_to_null
+from listing_lake.functions.text import blank_to_null, let, strip
 from listing_lake.operators import nodes as N
 from listing_lake.operators.listings import first_photo
 from listing_lake.operators.shred import shred_pages
@@ -13,41 +13,65 @@ from listing_lake.operators.shred import shred_pages
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 SUMMARY_LENGTH = 500
 UNTITLED_ENTRY = "(untitled)"
+FEED_ERROR = "RSS 해석 실패"
+JSON_ERROR = "JSON 해석 실패"
 # ------------------------------------------------------------------------------------------------
 
-FEED = (
-    "channel struct<item array<struct<title string, link string, description string, pubDate string>>>,"
-    " item array<struct<title string, link string, description string, pubDate string>>,"
-    " entry array<struct<title string, link array<struct<_href string, _rel string>>, summary string,"
-    " published string, updated string>>"
+_ENTRY = (
+    "title string, link array<struct<_VALUE string, _href string, _rel string>>, guid struct<_VALUE string, _isPermaLink string>,"
+    " description string, summary string, encoded string, content string, pubDate string, published string, updated string, date string"
 )
-
-
-def read_feed_xml(payloads: DataFrame, body: str = "body", base: str = "url") -> DataFrame:
-    """Entries of RSS and Atom documents.
-
-    `payloads` is (source, url, body) with page_no when a source has several documents. Entries without a usable link are
-    skipped; order of appearance is (page_no, pos).
+# The corrupt-record field must come last: elsewhere Spark mixes up the fields of a broken document.
+ENTRY = f"{_ENTRY}, _broken string"
+FEED = f"channel struct<item array<struct<{_ENTRY}>>>, item array<struct<{_ENTRY}>>, entry array<struct<{_ENTRY}>>, _broken string"
+XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_broken"}
+ENTRY_TEXT = r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"
+# An ampersand that starts no reference XML knows.
+LOOSE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);)"
+
+
+def _feed_entry(x: Column) -> Column:
+    """Title, link, summary and date of an entry of any feed kind."""
+    plain = F.filter(x["link"], lambda l: strip(F.coalesce(l["_VALUE"], F.lit(""))) != "")
+    target = F.filter(x["link"], lambda l: (F.coalesce(l["_rel"], F.lit("alternate")) == "alternate") & l["_href"].isNotNull())
+    permanent = F.when(F.lower(F.coalesce(x["guid"]["_isPermaLink"], F.lit("true"))) != "false", x["guid"]["_VALUE"])
+    text = [blank_to_null(x[name]) for name in ("description", "summary", "encoded", "content")]
+    date = [blank_to_null(x[name]) for name in ("pubDate", "published", "updated", "date")]
+    return F.struct(
+        x["title"].alias("title"),
+        F.coalesce(F.try_element_at(plain, F.lit(1))["_VALUE"], F.try_element_at(target, F.lit(1))["_href"], permanent).alias("link"),
+        F.coalesce(*text).alias("summary"), F.coalesce(*date).alias("published"))
+
+
+def parse_feeds(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Adds `entries` and `error` to every feed document and drops its text.
+
+    Entries of a document that is not well formed are read one by one, with loose ampersands escaped where that helps; `error` is
+    set when none can be read. A missing body is an error, an empty feed is not.
     """
-    doc = F.from_xml(F.col(body), FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
-
-    def rss(x: Column) -> Column:
-        return F.struct(
-            x["title"].alias("title"), x["link"].alias("link"), x["description"].alias("summary"), x["pubDate"].alias("published"))
-
-    def atom(x: Column) -> Column:
-        own = F.filter(x["link"], lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
-        return F.struct(
-            x["title"].alias("title"), F.try_element_at(own, F.lit(1))["_href"].alias("link"), x["summary"].alias("summary"),
-            F.coalesce(blank_to_null(x["published"]), x["updated"]).alias("published"))
-
-    kept = [c for c in payloads.columns if c not in (body, base)]
-    none = F.expr("cast(array() as array<struct<title:string,link:string,summary:string,published:string>>)")
-    entries = F.concat(
-        F.coalesce(F.transform("_doc.channel.item", rss), none), F.coalesce(F.transform("_doc.item", rss), none),
-        F.coalesce(F.transform("_doc.entry", atom), none),
-    )
-    rows = payloads.withColumn("_doc", doc).select(*kept, base, F.posexplode(entries).alias("pos", "_e"))
+    text = payloads.withColumn("_text", strip(F.col(body))).drop(body)
+    read = text.withColumn("_doc", F.from_xml("_text", FEED, XML_OPTIONS))
+    broken = F.col("_doc._broken").isNotNull()
+    cut = F.when(broken, F.regexp_extract_all("_text", F.lit(ENTRY_TEXT), F.lit(0)))
+    none = F.array().cast(f"array<struct<{_ENTRY}>>")
+    whole = F.concat(*[F.coalesce(F.col(f"_doc.{at}"), none) for at in ("channel.item", "item", "entry")])
+
+    def alone(part: Column) -> Column:
+        strict = F.from_xml(part, ENTRY, XML_OPTIONS)
+        loose = F.from_xml(F.regexp_replace(part, LOOSE_AMPERSAND, "&amp;"), ENTRY, XML_OPTIONS)
+        return let(strict, lambda x: F.when(x["_broken"].isNull(), x).otherwise(loose))
+
+    singles = F.filter(F.transform(cut, alone), lambda x: x["_broken"].isNull())
+    parsed = read.withColumn("_parts", singles).withColumn("entries", F.when(
+        broken, F.transform("_parts", _feed_entry)).otherwise(F.transform(whole, _feed_entry)))
+    failed = F.col("_text").isNull() | (broken & (F.size("entries") == 0))
+    return parsed.withColumn("error", F.when(failed, F.lit(FEED_ERROR))).drop("_text", "_doc", "_parts")
+
+
+def feed_entries(parsed: DataFrame, base: str = "url") -> DataFrame:
+    """One row per entry of parsed feeds; entries without a usable link are skipped. The order of appearance is (page_no, pos)."""
+    kept = [c for c in parsed.columns if c not in ("entries", "error", base)]
+    rows = parsed.select(*kept, base, F.posexplode("entries").alias("pos", "_e"))
     link = F.when(F.col("_e.link") != "", urls.normalize_url(F.col("_e.link"), F.col(base)))
     return rows.select(
         *kept, "pos", link.alias("url"),
@@ -57,6 +81,16 @@ def read_feed_xml(payloads: DataFrame, body: str = "body", base: str = "url") ->
     ).filter(F.col("url").isNotNull())
 
 
+def feed_failures(parsed: DataFrame) -> DataFrame:
+    """The documents of parsed feeds that could not be read, with `error`."""
+    return parsed.filter("error is not null").drop("entries")
+
+
+def read_feed_xml(payloads: DataFrame, body: str = "body", base: str = "url") -> DataFrame:
+    """Entries of RSS and Atom documents (source, url, body), with page_no when a source has several."""
+    return feed_entries(parse_feeds(payloads, body), base)
+
+
 def json_path(dotted: Column) -> Column:
     """Variant path of a dotted path; a numeric step is an array index."""
     steps = F.transform(
@@ -113,6 +147,11 @@ def with_entry_image(entries: DataFrame) -> DataFrame:
     )).drop("_image", "_images", "nodes", "_html")
 
 
+def json_failures(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Payloads (source, page_no, url, body) that are no JSON, with `error`."""
+    return payloads.filter(F.try_parse_json(F.col(body)).isNull()).withColumn("error", F.lit(JSON_ERROR)).drop(body)
+
+
 def without_entry_image(entries: DataFrame) -> DataFrame:
     return entries.withColumnRenamed("_image", "imageUrl").drop("_html")
 

@@ -11,6 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listing_lake.functions import urls
 from listing_lake.operators import snapshots
+from listing_lake.plans import collection
+from listing_lake.session import materialize
+from listing_lake.sources import pages
 
 # --- fixed values: must equal the stored data's rules -------------------------------------------
 KST_MIDNIGHT = "15 hours"  # of the day before, in UTC
@@ -37,6 +40,11 @@ def to_parquet(path: str) -> Callable:
     return lambda writer: writer.format("parquet").start(path)
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a stream's checkpoint."""
+    return spark.read.text(f"{checkpoint}/metadata").agg(F.max(F.get_json_object("value", "$.id"))).first()[0]
+
+
 def upsert_stream(
     candidates: DataFrame, root: str, checkpoint: str, now: Callable[[], datetime], seq: list[str], n_buckets: int = snapshots.BUCKETS,
 ) -> None:
@@ -48,12 +56,36 @@ def upsert_stream(
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stream = spark.read.text(f"{checkpoint}/metadata").agg(F.max(F.get_json_object("value", "$.id"))).first()[0]
-        snapshots.merge(spark, root, batch, now(), seq, stream, batch_id, n_buckets)
+        snapshots.merge(spark, root, batch, now(), seq, stream_id(spark, checkpoint), batch_id, n_buckets)
 
     run_available(candidates, checkpoint, lambda writer: writer.foreachBatch(merge).start())
 
 
+def intake_stream(
+    raw: DataFrame, sources: DataFrame, root: str, checkpoint: str, now: Callable[[], datetime], reports: str | None = None,
+    allow_manual: bool = False, n_buckets: int = snapshots.BUCKETS,
+) -> None:
+    """Fetched bodies to the content table: every micro-batch is a collection run of its own.
+
+    `raw` is (source, kind, page_no, url, content_type, body, failed): listing pages, feeds and payloads have kind `list`, product pages
+    kind `detail`, and `body` holds the bytes as they came. A batch is decoded once, then read by source type and merged; one already
+    committed is skipped. `reports` gets one folder per batch, `stream=<id>/batch=<n>`; a driver lost between commit and report
+    leaves that batch without one.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        text = materialize(pages.decode_pages(batch), "decoded")
+        read = text.filter("kind = 'list'").select("source", "page_no", "url", F.col("html").alias("body"))
+        products = text.filter("kind = 'detail'").select("source", "url", "html", "failed")
+        done = collection.run_collection(
+            spark, root, collection.Fetched(read, products), sources, now(), allow_manual=allow_manual,
+            stream=stream_id(spark, checkpoint), batch_id=batch_id, n_buckets=n_buckets)
+        if done and reports:
+            done.report.coalesce(1).write.mode("overwrite").parquet(f"{reports}/stream={stream_id(spark, checkpoint)}/batch={batch_id}")
+
+    run_available(raw, checkpoint, lambda writer: writer.foreachBatch(run).start())
+
+
 def first_seen_stream(rows: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
     """The first arrival of every key within the watermark."""
     return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
