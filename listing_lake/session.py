@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     # Whole pages travel to the shredder, so the batch is bounded by bytes and by rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "32m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Keys seen by streams need not fit in memory; state with timers asks for it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Largest driver-made table that may be broadcast without asking the optimiser.

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from listing_lake.functions import urls
 from listing_lake.operators import snapshots
@@ -104,26 +103,43 @@ def daily_intake(rows: DataFrame, group: list[Column], at: str, delay: str) -> D
     return counted.select(kst, *[c for c in counted.columns if c != "window"])
 
 
+class RefreshTimer(StatefulProcessor):
+    """Keeps the last check of a key and one timer, set to when the key is due again."""
+
+    def __init__(self, key: str, window_ms: int) -> None:
+        self.key, self.window_ms = key, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        newest = max(row["_ms"] for row in rows)
+        known = self.last.get()[0] if self.last.exists() else None
+        if known is None or newest > known:
+            if known is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+            self.last.update((newest,))
+            # A timer at or before the watermark would not fire.
+            self.handle.registerTimer(max(newest + self.window_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = self.last.get()[0] + self.window_ms
+        self.last.clear()
+        yield Row(**{self.key: key[0], "due_ms": due})
+
+    def close(self) -> None:
+        pass
+
+
 def refresh_due(checks: DataFrame, key: str, at: str, refresh_hours: float, delay: str) -> DataFrame:
     """(key, due_at) of every URL whose last check is older than the refresh window in event time.
 
-    The state of a key is its last check alone.
+    The state of a key is its last check and a timer, kept in RocksDB; a batch touches the keys it holds and those that fall due.
     """
-    window_ms = int(refresh_hours * 3_600_000)
     kind = dict(checks.dtypes)[key]
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            due = state.get[0] + window_ms
-            state.remove()
-            yield pd.DataFrame({key: [group[0]], "due_at": [pd.Timestamp(due, unit="ms")]})
-            return
-        last = state.get[0] if state.exists else 0
-        for batch in batches:
-            last = max(last, int(batch["_ms"].max()))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + window_ms, state.getCurrentWatermarkMs() + 1))
-
     rows = checks.withWatermark(at, delay).select(key, at, F.unix_millis(F.col(at)).alias("_ms"))
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, due_at timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = rows.groupBy(key).transformWithState(
+        RefreshTimer(key, int(refresh_hours * 3_600_000)), f"`{key}` {kind}, due_ms bigint", "append", "eventTime")
+    return timed.select(key, F.timestamp_millis("due_ms").alias("due_at"))

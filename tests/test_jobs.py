@@ -109,3 +109,25 @@ def test_event_time_streams(spark, tmp_path):
     streams.run_available(streams.refresh_due(source(), "url", "collectedAt", 72, "1 hour"), str(tmp_path / "c3"), streams.to_parquet(str(tmp_path / "o3")))
     due = {r.url: r.due_at for r in spark.read.parquet(str(tmp_path / "o3")).collect()}
     assert due == {"https://e.example/a": at(72).replace(tzinfo=None), "https://e.example/a#x": at(73).replace(tzinfo=None)}
+
+
+def test_refresh_due_renews_and_forgets(spark, tmp_path):
+    schema = "url string, at timestamp"
+    inbox = str(tmp_path / "in")
+    at = lambda h: NOW + timedelta(hours=h)
+    run = lambda: streams.run_available(
+        streams.refresh_due(streams.read_stream(spark, inbox, schema), "url", "at", 6, "1 hour"), str(tmp_path / "c"), streams.to_parquet(str(tmp_path / "o")))
+    got = lambda: sorted((r.url, r.due_at) for r in spark.read.parquet(str(tmp_path / "o")).collect())
+    due = lambda *pairs: sorted((u, at(h).replace(tzinfo=None)) for u, h in pairs)
+    write_batches(spark, inbox, schema, [("a", at(0)), ("b", at(0)), ("c", at(0)), ("c", at(3))])
+    run()
+    assert got() == []
+    write_batches(spark, inbox, schema, [("a", at(5)), ("a", at(2)), ("d", at(8))])  # a is checked anew in time, b is not
+    run()
+    assert got() == due(("b", 6))
+    write_batches(spark, inbox, schema, [("b", at(12)), ("d", at(14))])  # b starts over; a and c fall due
+    run()
+    assert got() == due(("b", 6), ("a", 11), ("c", 9))
+    write_batches(spark, inbox, schema, [("e", at(40))])
+    run()
+    assert got() == due(("b", 6), ("a", 11), ("c", 9), ("b", 18), ("d", 20))
